@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, exact_dedup, line_dedup, mixing, warc
+from . import bpe, exact_dedup, html_extract, langid, line_dedup, mixing, ngram_join, quality, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -14,7 +14,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_warc": warc.op1,
         "op2_exact_dedup": exact_dedup.op2,
         "op3_line_dedup": line_dedup.op3,
+        "op4_quality": quality.op4,
+        "op5_language_id": langid.op5,
         "op6_mixing": mixing.op6,
+        "op7_html_extraction": html_extract.op7,
+        "op8_ngram_join": ngram_join.op8,
         "op10_bpe": bpe.op10,
     }
 
