@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
@@ -92,12 +93,17 @@ class HashEmbedder:
         return out
 
     def embed(self, text: str) -> np.ndarray:
-        seed, _, _, projections = _MODELS[self.model, self.revision]
-        base = np.fromiter(map(_hash_of, self.features(text)), np.uint64) ^ np.uint64(seed)
+        seed, least, most, projections = _MODELS[self.model, self.revision]
+        words = tokens_of(text)
+        counts = Counter(words)
+        parts = [_hashes_of(w, least, most) for w in counts]
+        base = np.concatenate([*parts, _pair_hashes(words)])
+        times = np.concatenate([np.repeat([float(n) for n in counts.values()], [len(p) for p in parts]), np.ones(len(base) - sum(map(len, parts)))])
+        base ^= np.uint64(seed)
         out = np.zeros(self.dimension)
         for p in range(projections):
             mixed = mix64(base + np.uint64(p * 0x9E3779B97F4A7C15 & _M64))
-            sign = np.where(mixed >> np.uint64(63), 1.0, -1.0) / (p + 1)
+            sign = np.where(mixed >> np.uint64(63), times, -times) / (p + 1)
             out += np.bincount((mixed % np.uint64(self.dimension)).astype(np.intp), sign, self.dimension)
         return out.astype(np.float32)
 
@@ -106,16 +112,35 @@ class HashEmbedder:
 
 
 _MODELS = {("default", "v1"): (0x6A09E667F3BCC909, 3, 5, 4), ("compact", "v1"): (0xBB67AE8584CAA73B, 3, 4, 2)}
-_hashes: dict[str, int] = {}
+_hashes: dict[tuple[str, int, int], np.ndarray] = {}
 
 
-def _hash_of(feature: str) -> int:
-    h = _hashes.get(feature)
-    if h is None:
-        if len(_hashes) > 500_000:
+def _hashes_of(word: str, least: int, most: int) -> np.ndarray:
+    """Hashes of a token and its character n-grams; the token's own come from memory when it recurs."""
+    key = (word, least, most)
+    if key not in _hashes:
+        if len(_hashes) > 200_000:
             _hashes.clear()
-        h = _hashes[feature] = fnv1a(feature.encode())
-    return h
+        b = f"^{word}$"
+        _hashes[key] = np.array([fnv1a(x.encode()) for x in [word, *(b[s : s + n] for n in range(least, most + 1) for s in range(len(b) - n + 1))]], np.uint64)
+    return _hashes[key]
+
+
+def _pair_hashes(words: list[str]) -> np.ndarray:
+    """Hashes of ``a_b`` for adjacent tokens, all pairs at once, a byte at a time."""
+    if len(words) < 2:
+        return np.zeros(0, np.uint64)
+    joined = [f"{a}_{b}".encode() for a, b in zip(words, words[1:])]
+    sizes = np.array([len(x) for x in joined])
+    order = np.argsort(-sizes, kind="stable")
+    starts, flat = (np.cumsum(sizes) - sizes)[order], np.frombuffer(b"".join(joined), np.uint8)
+    h = np.full(len(joined), 1469598103934665603, np.uint64)
+    live = np.searchsorted(-sizes[order], -np.arange(sizes.max()), "left")
+    for at, n in enumerate(live):
+        h[:n] = (h[:n] ^ flat[starts[:n] + at]) * np.uint64(1099511628211)
+    out = np.empty_like(h)
+    out[order] = h
+    return out
 
 
 def embed_column(df: DataFrame, embedder, text: str = "text", out: str = "vector") -> DataFrame:

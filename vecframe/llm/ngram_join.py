@@ -34,8 +34,8 @@ from pyspark.sql import functions as F
 from .common import forget, fresh, name, small, written
 
 N = 3
-THRESHOLD = 0.6
-TREES = 32
+THRESHOLD = 0.5
+TREES = 40
 DEEPEST = 8
 RECALL = 0.92
 BLOCK = 2000

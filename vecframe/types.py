@@ -57,4 +57,4 @@ def meta_row(meta: Mapping[str, MetaValue] | None) -> dict[str, tuple]:
 
 
 def meta_dict(row) -> dict[str, MetaValue]:
-    return {k: v[v["k"] + 1] for k, v in sorted((row or {}).items())}
+    return {k: v["kidbs"[v["k"] + 1]] for k, v in sorted((row or {}).items())}
