@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import fresh, name
+from .common import fresh, map_arrow, name
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -160,7 +160,7 @@ def encode(docs: DataFrame, text: str = "text", vocabulary: str = VOCABULARY, pa
             made = [lists, pa.array(lengths, pa.int64())] + ([pa.array(good, pa.bool_())] if check else [])
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(rest)], *made], names=[*rest, *added])
 
-    return docs.select(*map(name, rest), name(text).cast("binary").alias(source)).mapInArrow(run, out)
+    return map_arrow(docs.select(*map(name, rest), name(text).cast("binary").alias(source)), run, out)
 
 
 def decode(df: DataFrame, ids: str = "token_ids", text: str = "text", vocabulary: str = VOCABULARY, pattern: str = PATTERN) -> DataFrame:
@@ -180,7 +180,8 @@ def decode(df: DataFrame, ids: str = "token_ids", text: str = "text", vocabulary
             texts = [None if x is None else bpe.decode(x) for x in batch.column(len(rest)).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(rest)], pa.array(texts, pa.binary())], names=[*rest, added])
 
-    return df.select(*map(name, rest), name(ids)).mapInArrow(run, out).withColumn(added, F.col(added).cast("string"))
+    texts = map_arrow(df.select(*map(name, rest), name(ids)), run, out)
+    return texts.withColumn(added, name(added).cast("string"))
 
 
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:

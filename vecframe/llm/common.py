@@ -75,5 +75,10 @@ def name(column: str) -> Column:
     return F.col("`" + column.replace("`", "``") + "`")
 
 
+def map_arrow(df: DataFrame, run, schema) -> DataFrame:
+    """``df.mapInArrow``, whatever the names of the columns are; ``run`` finds them by position."""
+    return df.toDF(*[f"c{i}" for i in range(len(df.columns))]).mapInArrow(run, schema)
+
+
 def table(spark: SparkSession, sf_dir: str, of: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{of}.parquet")

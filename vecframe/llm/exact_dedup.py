@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import forget, fresh, name, small, written
+from .common import forget, fresh, map_arrow, name, small, written
 
 WIDTH = 64
 #: A group with more bytes or rows than this is split further before rows move.
@@ -144,16 +144,17 @@ def exact_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", cou
         sizes = of.groupBy(n_bytes, digits).agg(F.count("*").alias(made))
         return sizes.filter((F.col(made) * F.col(n_bytes) > split_bytes) | (F.col(made) > split_rows)).select(n_bytes, digits)
 
-    over = written(too_large(rows), "radix-over")
+    first = over = written(too_large(rows), "radix-over")
     n = over.count()
     if n:
         merge = _merge_here(at[n_bytes], at[raw], order, at[added], held_bytes)
-        hot = written(rows.join(small(over, n), [n_bytes, digits], "left_semi").select(*rows.columns).mapInArrow(merge, rows.schema), "radix-hot")
-        cold = rows.join(small(over, n), [n_bytes, digits], "left_anti").select(*rows.columns)
+        hot = written(map_arrow(rows.join(small(over, n), [n_bytes, digits], "left_semi").select(*map(name, rows.columns)), merge, rows.schema), "radix-hot")
+        cold = rows.join(small(over, n), [n_bytes, digits], "left_anti").select(*map(name, rows.columns))
         width = WIDTH
         while True:
             again = written(too_large(hot.filter(F.col(n_bytes) > width)), "radix-over")
-            forget(over)
+            if over is not first:
+                forget(over)
             over, n = again, again.count()
             if not n:
                 break
@@ -161,13 +162,12 @@ def exact_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", cou
             wider = over.withColumn(made, F.lit(True))
             longer = hot.join(small(wider, n), [n_bytes, digits], "left")
             longer = longer.withColumn(digits, F.when(F.col(made), F.substring(F.col(raw), 1, width)).otherwise(F.col(digits)))
-            next_hot = written(longer.select(*rows.columns), "radix-hot")
+            next_hot = written(longer.select(*map(name, rows.columns)), "radix-hot")
             forget(hot)
             hot = next_hot
         rows = cold.unionByName(hot)
-    forget(over)
     moved = rows.repartition(n_bytes, digits).sortWithinPartitions(n_bytes, digits)
-    once = moved.mapInArrow(_merge_sorted([at[n_bytes], at[digits]], at[raw], order, at[added], held_bytes), rows.schema)
+    once = map_arrow(moved, _merge_sorted([at[n_bytes], at[digits]], at[raw], order, at[added], held_bytes), rows.schema)
     out = once.select(*[F.col(raw).cast("string").alias(text) if c == text else name(c) for c in cols], added)
     out = out.unionByName(docs.filter(name(text).isNull()).withColumn(added, F.lit(1).cast("long")))
     return out if count else out.drop(added)

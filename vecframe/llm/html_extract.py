@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import forget, fresh, name, small, written
+from .common import forget, fresh, map_arrow, name, small, written
 
 #: A subtree is template if at least so many pages of the host have it, and such a share of
 #: the host's pages; a share of more than MOST pages isn't asked for.
@@ -153,11 +153,11 @@ def extract_text(pages: DataFrame, url: str = "url", html: str = "html", out: st
     column whose name is taken gets a leading underscore.
     """
     rest = [c for c in pages.columns if c != html]
-    text, removed, host, key, hashes = fresh(rest, out, count, "host_name", "host_key", "subtrees")
+    text, removed, host, key, hashes, raw_html = fresh(rest, out, count, "host_name", "host_key", "subtrees", "raw_html")
     per = written(templates(pages, url, html, min_pages, min_share, most).groupBy(F.col("host").alias(key)).agg(F.collect_list("subtree").alias(hashes)), "templates")
     total = per.agg(F.sum(F.size(hashes))).first()[0] or 0
-    rows = pages.select(*map(name, rest), host_of(name(url)).alias(host), name(html).cast("binary").alias("raw"))
-    rows = rows.join(small(per, total), F.col(host) == F.col(key), "left").select(*map(name, rest), host, hashes, "raw")
+    rows = pages.select(*map(name, rest), host_of(name(url)).alias(host), name(html).cast("binary").alias(raw_html))
+    rows = rows.join(small(per, total), F.col(host) == F.col(key), "left").select(*map(name, rest), host, hashes, raw_html)
     k = len(rest)
     schema = rows.select(*map(name, rest), F.lit("").alias(text), F.lit(0).cast("long").alias(removed)).schema
     schema[text].nullable = True
@@ -181,7 +181,7 @@ def extract_text(pages: DataFrame, url: str = "url", html: str = "html", out: st
                 counts.append(n)
             yield pa.RecordBatch.from_arrays([*b.columns[:k], pa.array(texts, pa.string()), pa.array(counts, pa.int64())], names=[*rest, text, removed])
 
-    return rows.mapInArrow(run, schema)
+    return map_arrow(rows, run, schema)
 
 
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -119,7 +119,7 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
     return files.mapInArrow(run, "file string, offset long, header binary, payload binary")
 
 
-def split_records(content: bytes) -> Iterator[tuple[int, bytes, bytes | None]]:
+def split_records(content: bytes) -> Iterator[tuple[int, bytes, bytes]]:
     """(offset, bytes before the payload, payload) of each record of a file's bytes."""
     if content[:2] == b"\x1f\x8b":
         try:
@@ -143,18 +143,18 @@ def split_records(content: bytes) -> Iterator[tuple[int, bytes, bytes | None]]:
         kind = re.search(rb"(?im)^content-type:[ \t]*application/http", content[at:start])
         http = content.find(b"\r\n\r\n", body, stop) if kind else -1
         cut = http + 4 if http >= 0 else body
-        yield at, content[at:cut], content[cut:stop] if stop > cut or not kind else None
+        yield at, content[at:cut], content[cut:stop]
         at = stop + 4
 
 
 def write_warc(records: DataFrame, path: str, header: str = "header", payload: str = "payload") -> None:
-    """Write records as gzip members, one text-encoded folder of part files a partition's.
+    """Write the records of each partition to a gzip file under ``path``.
 
-    The records of a partition go to one ``part-*.warc.gz`` under ``path`` through Spark's
-    own committer, so a lost task leaves no half file.
+    Spark's own committer places the files, so a lost task leaves no half file. A null
+    payload is written like an empty one.
     """
-    whole = F.concat(name(header).cast("binary"), F.coalesce(name(payload).cast("binary"), F.lit(b"")), F.lit(END.encode()))
-    records.select(whole.cast("string").alias("value")).write.option("lineSep", "\u0000").option("compression", "gzip").text(path)
+    whole = F.concat(name(header).cast("binary"), F.coalesce(name(payload).cast("binary"), F.lit(b"")))
+    records.select(whole.cast("string").alias("value")).write.option("lineSep", END).option("compression", "gzip").text(path)
 
 
 def sha256(data: bytes) -> str:

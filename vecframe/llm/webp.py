@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import fresh, name
+from .common import fresh, map_arrow, name
 
 OPAQUE = 0xFF000000
 _ORDER = (17, 18, 0, 1, 2, 3, 4, 5, 16, 6, 7, 8, 9, 10, 11, 12, 13, 14, 15)
@@ -621,7 +621,7 @@ def decode_media(df: DataFrame, media: str = "image", width: str = "width", heig
             made = [pa.array(c, t) for c, t in zip(cols, (pa.int32(), pa.int32(), pa.list_(pa.int64()), pa.string()))]
             yield pa.RecordBatch.from_arrays([*b.columns[: len(rest)], *made], names=[*rest, *added])
 
-    return df.select(*map(name, rest), name(media)).mapInArrow(run, out)
+    return map_arrow(df.select(*map(name, rest), name(media)), run, out)
 
 
 #: How the registered query encodes its images, in turn.
@@ -658,7 +658,7 @@ def thumbnails(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(images, pa.binary())], names=[key, image])
 
     schema = T.StructType([vectors.schema[key], T.StructField(image, T.BinaryType())])
-    return vectors.select(name(key), name(vector)).mapInArrow(run, schema)
+    return map_arrow(vectors.select(name(key), name(vector)), run, schema)
 
 
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
