@@ -74,6 +74,23 @@ def test_similar_shortens_prefixes_to_the_target():
         nj.shortest(0.1, 2, 0.99)
 
 
+@pytest.mark.parametrize("link", [0.52, 0.55, 0.6, 0.65])
+def test_close_partners_do_not_hide_links_near_the_threshold(link):
+    rng = np.random.default_rng(7)
+    new = lambda k: rng.integers(0, 1 << 62, k, dtype=np.uint64)
+    found = links = apart = 0
+    for _ in range(60):
+        a = new(400)
+        common = round(800 * link / (1 + link))
+        b = np.append(a[:common], new(400 - common))
+        sets = [np.unique(x) for x in (a, np.append(a[10:], new(10)), b, np.append(b[:-10], new(10)))]
+        want = {(i, j) for i in (0, 1) for j in (2, 3) if len(np.intersect1d(sets[i], sets[j])) / len(np.union1d(sets[i], sets[j])) >= 0.5}
+        got = {(i, j) for i, j, _ in nj.similar(sets, np.zeros(4), False, 0.5, nj.TREES, nj.RECALL)}
+        assert {(0, 1), (2, 3)} <= got <= want | {(0, 1), (2, 3)}
+        found, links, apart = found + len(got & want), links + len(want), apart + (not got & want)
+    assert found >= 0.92 * links and apart <= 0.08 * 60, (found, links, apart)
+
+
 def test_components(spark):
     rng = random.Random(8)
     edges = [(rng.randrange(200), rng.randrange(200)) for _ in range(130)] + [(1000 + i, 1001 + i) for i in range(60)]

@@ -10,10 +10,9 @@ still meets in some trie with the target recall.
 2. Sorting by trie key links every node to the least of its trie node; these links, linear
    in the documents, are joined into connected components by star contraction.
 3. Texts of nodes that have company move once, to their component. There the tries are
-   searched from the deepest prefix, and each row shortens its prefix until its estimated
-   recall, found pairs against found pairs over their chance of being found, reaches the
-   target. Every candidate is verified on the sets. Nothing that grows with pairs is
-   shuffled. A component of more than ``BLOCK`` nodes is cut into blocks and every pair of
+   searched at the shortest prefix, which holds what longer ones would find, so that pairs
+   at the threshold are found with the target recall whatever closer pairs a row has. Every
+   candidate is verified on the sets. A component of more than ``BLOCK`` nodes is cut into blocks and every pair of
    blocks is a task of its own, so no candidate is dropped.
 
 64-bit hashes stand for n-grams, and 128-bit ones for sets, in the verification.
@@ -125,48 +124,32 @@ def shortest(threshold: float, trees: int, recall: float) -> int:
 def similar(sets: list[np.ndarray], side: np.ndarray, across: bool, threshold: float, trees: int, recall: float) -> Iterator[tuple[int, int, float]]:
     """Verified pairs of one component: indices and Jaccard similarity.
 
-    With ``across``, only pairs of different ``side``. Rows start at the deepest prefix and
-    shorten it until their estimated recall reaches the target or the shortest is done.
+    With ``across``, only pairs of different ``side``. Every row is searched at the shortest
+    prefix: the pairs it has found say nothing of those near the threshold.
     """
     m = len(sets)
-    least = shortest(threshold, trees, recall)
-    keys = np.stack([prefix_keys(signature(g, trees, DEEPEST)) for g in sets], 1)
+    depth = shortest(threshold, trees, recall)
+    keys = np.stack([prefix_keys(signature(g, trees, depth))[-1] for g in sets])
     sizes = np.array([len(g) for g in sets])
     _, ids = np.unique(np.concatenate(sets), return_inverse=True)
     ends = np.cumsum(sizes)
     ids_of = [ids[e - s : e] for e, s in zip(ends, sizes)]
     mark = np.zeros(int(ids.max()) + 1, bool)
-    allowed = np.triu(np.ones((m, m), bool), 1)
+    meet = np.zeros((m, m), bool)
+    for k in keys.T:
+        meet |= k[:, None] == k[None, :]
+    meet &= np.triu(np.ones((m, m), bool), 1)
     if across:
-        allowed &= side[:, None] != side[None, :]
-    n_found, n_whole, active = np.zeros(m), np.zeros(m), np.ones(m, bool)
-    pairs: list[tuple[int, int, float]] = []
-    for depth in range(DEEPEST, least - 1, -1):
-        meet = np.zeros((m, m), bool)
-        for t in range(trees):
-            k = keys[depth - 1, :, t]
-            meet |= k[:, None] == k[None, :]
-        meet &= allowed & (active[:, None] | active[None, :])
-        allowed &= ~meet
-        for i in np.flatnonzero(meet.any(1)).tolist():
-            others = np.flatnonzero(meet[i])
-            mark[ids_of[i]] = True
-            there = mark[np.concatenate([ids_of[j] for j in others])]
-            shared = np.add.reduceat(there, np.concatenate([[0], np.cumsum(sizes[others])[:-1]]), dtype=np.int64)
-            mark[ids_of[i]] = False
-            jac = shared / (sizes[i] + sizes[others] - shared)
-            good = jac >= threshold
-            pairs += [(i, int(j), float(x)) for j, x in zip(others[good], jac[good])]
-        n_found[:], n_whole[:] = 0, 0
-        if pairs:
-            a, b, j = (np.array(x) for x in zip(*pairs))
-            for end in (a, b):
-                np.add.at(n_found, end, 1)
-                np.add.at(n_whole, end, 1 / found(j, depth, trees))
-        active = (n_found == 0) | (n_found < recall * n_whole)
-        if not active.any():
-            break
-    yield from pairs
+        meet &= side[:, None] != side[None, :]
+    for i in np.flatnonzero(meet.any(1)).tolist():
+        others = np.flatnonzero(meet[i])
+        mark[ids_of[i]] = True
+        there = mark[np.concatenate([ids_of[j] for j in others])]
+        shared = np.add.reduceat(there, np.concatenate([[0], np.cumsum(sizes[others])[:-1]]), dtype=np.int64)
+        mark[ids_of[i]] = False
+        jac = shared / (sizes[i] + sizes[others] - shared)
+        good = jac >= threshold
+        yield from ((i, int(j), float(x)) for j, x in zip(others[good], jac[good]))
 
 
 def _sketches(docs: DataFrame, doc_id: str, text: str, n: int, trees: int, depth: int) -> DataFrame:
