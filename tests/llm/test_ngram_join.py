@@ -59,6 +59,30 @@ def test_query_against_brute_force(spark):
     check({(r.doc_a, r.doc_b): r.jaccard for r in nj.all_pairs(nj.op8(spark, SF)).collect()}, brute(rows))
 
 
+@pytest.mark.parametrize("block", [2000, 2])
+def test_every_pair_of_copies_is_written_out(spark, tmp_path, block):
+    rows = near_copies()
+    top = max(i for i, _ in rows)
+    rows += [(top + 1 + k, t) for k, (_, t) in enumerate(rows[:40] + rows[:10] * 4)]
+    want = brute(rows)
+    docs_of(spark, rows).write.parquet(str(tmp_path / "documents.parquet"))
+    pairs = nj.op8(spark, str(tmp_path)) if block == nj.BLOCK else nj.every_pair(docs_of(spark, rows), block=block)
+    got = [((r.doc_a, r.doc_b), r.jaccard) for r in pairs.collect()]
+    assert len(dict(got)) == len(got)
+    check(dict(got), want)
+    assert {p for p, j in want.items() if j == 1} <= dict(got).keys()
+
+
+def test_every_pair_of_documents_with_several_texts(spark):
+    a, b = "one two three four five six seven", "one two three four five six eight"
+    rows = [(1, a), (2, a), (2, b), (3, b), (4, a), (4, b), (5, "else")]
+    got = [((r.doc_a, r.doc_b), r.jaccard) for r in nj.every_pair(docs_of(spark, rows)).collect()]
+    assert len(dict(got)) == len(got) and dict(got) == brute(rows)
+    rows = [(2, a), (2, b), (3, b), (4, a)]
+    assert {(r.doc_a, r.doc_b): r.jaccard for r in nj.every_pair(docs_of(spark, rows)).collect()} == brute(rows)
+    assert nj.every_pair(docs_of(spark, rows).limit(0)).count() == 0
+
+
 def test_similar_shortens_prefixes_to_the_target():
     rng = np.random.default_rng(1)
     sets = []

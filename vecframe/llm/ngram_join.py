@@ -152,6 +152,10 @@ def similar(sets: list[np.ndarray], side: np.ndarray, across: bool, threshold: f
         yield from ((i, int(j), float(x)) for j, x in zip(others[good], jac[good]))
 
 
+def _digest(g: np.ndarray) -> bytes:
+    return hashlib.blake2b(g.tobytes(), digest_size=16).digest()
+
+
 def _sketches(docs: DataFrame, doc_id: str, text: str, n: int, trees: int, depth: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -160,7 +164,7 @@ def _sketches(docs: DataFrame, doc_id: str, text: str, n: int, trees: int, depth
                 g = grams(x.as_py(), n)
                 if len(g):
                     keep.append(i)
-                    digests.append(hashlib.blake2b(g.tobytes(), digest_size=16).digest())
+                    digests.append(_digest(g))
                     keys.append(prefix_keys(signature(g, trees, depth))[-1].view(np.int64))
             flat = np.concatenate(keys) if keys else np.zeros(0, np.int64)
             lists = pa.ListArray.from_arrays(pa.array(np.arange(len(keep) + 1, dtype=np.int32) * trees), pa.array(flat))
@@ -194,24 +198,17 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     return now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
 
 
-def similar_pairs(docs: DataFrame, threshold: float = THRESHOLD, n: int = N, trees: int = TREES, recall: float = RECALL, doc_id: str = "doc_id", text: str = "text", block: int = BLOCK) -> DataFrame:
-    """(doc_a, doc_b, jaccard) of documents whose n-gram sets have at least this similarity.
-
-    Documents with equal sets are each paired with the least doc_id among them, which alone
-    is paired with documents of other sets: ``all_pairs`` writes out the rest. doc_a is the
-    lesser id, except that a representative is always doc_a of its copies. Rows without a
-    doc_id, a text or a word join nothing. Rows that share a doc_id are one document: their
-    matches are united, and it is never paired with itself.
-    """
+def _forest(docs: DataFrame, threshold: float, n: int, trees: int, recall: float, doc_id: str, text: str, block: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Sketches of all rows, nodes of equal sets, and the verified pairs of unequal sets: (doc_a, doc_b, set_a, set_b, jaccard), repeated ones too."""
     depth = shortest(threshold, trees, recall)
     sketches = written(_sketches(docs, doc_id, text, n, trees, depth), "forest-keys")
     nodes = written(sketches.groupBy("digest", "keys").agg(F.min("id").alias("node"), F.count("*").alias("n")), "forest-nodes")
-    several = nodes.filter("n > 1").select("digest", "node")
-    copies = sketches.select("id", "digest").join(small(several, several.count()), "digest").filter("id <> node")
-    copies = copies.select(F.col("node").alias("doc_a"), F.col("id").alias("doc_b"), F.lit(1.0).alias("jaccard")).distinct()
     keyed = nodes.select("node", F.explode("keys").alias("key"))
     links = keyed.withColumn("low", F.min("node").over(Window.partitionBy("key"))).filter("node <> low").select(F.col("node").alias("a"), F.col("low").alias("b")).distinct()
-    members = written(components(links), "forest-members")
+    joined = components(links)
+    # sets that only share a doc_id have no link, but their texts must meet too
+    twice = nodes.groupBy("node").count().filter("count > 1").select("node", F.col("node").alias("component"))
+    members = written(joined.unionByName(twice.join(joined, "node", "left_anti")), "forest-members")
     large = members.groupBy("component").count().filter(F.col("count") > block).select("component", F.ceil(F.col("count") / block).cast("int").alias("blocks"))
     large = written(large, "forest-large")
     placed = members.join(small(large, large.count()), "component", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
@@ -233,10 +230,12 @@ def similar_pairs(docs: DataFrame, threshold: float = THRESHOLD, n: int = N, tre
             if len(use) < 2:
                 return
             got = similar([sets[i] for i in use], np.array([rows[i][1] for i in use]), cell[1] != cell[2], threshold, trees, recall)
-            got = [(*sorted((ids[use[i]], ids[use[j]])), x) for i, j, x in got if ids[use[i]] != ids[use[j]]]
+            ends = [(ids[i], _digest(sets[i])) for i in use]
+            got = [(*sorted((ends[i], ends[j])), x) for i, j, x in got if ends[i][1] != ends[j][1]]
             if got:
                 a, b, x = zip(*got)
-                yield pa.RecordBatch.from_arrays([pa.array(a, id_type), pa.array(b, id_type), pa.array(x, pa.float64())], names=["doc_a", "doc_b", "jaccard"])
+                (a, sa), (b, sb) = zip(*a), zip(*b)
+                yield pa.RecordBatch.from_arrays([pa.array(a, id_type), pa.array(b, id_type), pa.array(sa, pa.binary()), pa.array(sb, pa.binary()), pa.array(x, pa.float64())], names=["doc_a", "doc_b", "set_a", "set_b", "jaccard"])
 
         for batch in batches:
             id_type = batch.schema.field(4).type
@@ -250,11 +249,52 @@ def similar_pairs(docs: DataFrame, threshold: float = THRESHOLD, n: int = N, tre
         if len(rows) > 1:
             yield from flush()
 
-    near = moved.mapInArrow(run, f"doc_a {kind}, doc_b {kind}, jaccard double")
-    near = near.groupBy("doc_a", "doc_b").agg(F.max("jaccard").alias("jaccard"))
+    return sketches, nodes, moved.mapInArrow(run, f"doc_a {kind}, doc_b {kind}, set_a binary, set_b binary, jaccard double")
+
+
+def similar_pairs(docs: DataFrame, threshold: float = THRESHOLD, n: int = N, trees: int = TREES, recall: float = RECALL, doc_id: str = "doc_id", text: str = "text", block: int = BLOCK) -> DataFrame:
+    """(doc_a, doc_b, jaccard) of documents whose n-gram sets have at least this similarity.
+
+    Documents with equal sets are each paired with the least doc_id among them, which alone
+    is paired with documents of other sets: ``all_pairs`` writes out the rest. doc_a is the
+    lesser id, except that a representative is always doc_a of its copies. Rows without a
+    doc_id, a text or a word join nothing. Rows that share a doc_id are one document: their
+    matches are united, and it is never paired with itself.
+    """
+    sketches, nodes, near = _forest(docs, threshold, n, trees, recall, doc_id, text, block)
+    several = nodes.filter("n > 1").select("digest", "node")
+    copies = sketches.select("id", "digest").join(small(several, several.count()), "digest").filter("id <> node")
+    copies = copies.select(F.col("node").alias("doc_a"), F.col("id").alias("doc_b"), F.lit(1.0).alias("jaccard")).distinct()
+    near = near.filter("doc_a <> doc_b").groupBy("doc_a", "doc_b").agg(F.max("jaccard").alias("jaccard"))
     return copies.unionByName(near)
 
 
+def every_pair(docs: DataFrame, threshold: float = THRESHOLD, n: int = N, trees: int = TREES, recall: float = RECALL, doc_id: str = "doc_id", text: str = "text", block: int = BLOCK) -> DataFrame:
+    """(doc_a < doc_b, jaccard) of all documents of at least this similarity, each pair once.
+
+    As ``similar_pairs``, but every copy is paired with the other copies and with what is
+    similar to them. A set of more than ``block`` copies is paired in blocks.
+    """
+    sketches, nodes, near = _forest(docs, threshold, n, trees, recall, doc_id, text, block)
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    several = nodes.filter("n > 1").select("digest", F.ceil(F.col("n") / block).cast("int").alias("blocks"))
+    held = written(sketches.select("id", "digest").join(small(several, several.count()), "digest").distinct(), "forest-copies")
+    cells = held.withColumn("side", F.pmod(F.xxhash64("id"), F.col("blocks").cast("long")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    cells = cells.select("digest", F.least("side", "other").alias("low"), F.greatest("side", "other").alias("high"), "id", "side").repartition(parts, "digest", "low", "high")
+    same = cells.join(cells.select("digest", "low", "high", F.col("id").alias("y"), F.col("side").alias("side_y")), ["digest", "low", "high"])
+    same = same.filter("id < y AND (low = high OR side <> side_y)").select(F.col("id").alias("doc_a"), F.col("y").alias("doc_b"), F.lit(1.0).alias("jaccard"))
+    near = near.repartition(parts, "set_a", "set_b").groupBy("set_a", "set_b").agg(F.min("doc_a").alias("doc_a"), F.min("doc_b").alias("doc_b"), F.max("jaccard").alias("jaccard"))
+    of = small(held, held.count())
+    far = near.join(of.select(F.col("digest").alias("set_a"), F.col("id").alias("x")), "set_a", "left").join(of.select(F.col("digest").alias("set_b"), F.col("id").alias("y")), "set_b", "left")
+    far = far.withColumns({"x": F.coalesce("x", "doc_a"), "y": F.coalesce("y", "doc_b")}).filter("x <> y")
+    out = same.unionByName(far.select(F.least("x", "y").alias("doc_a"), F.greatest("x", "y").alias("doc_b"), "jaccard"))
+    # only documents with several texts can be paired twice
+    code = F.xxhash64("digest")
+    if sketches.groupBy("id").agg(F.min(code).alias("least"), F.max(code).alias("most")).filter("least < most").limit(1).count():
+        out = out.groupBy("doc_a", "doc_b").agg(F.max("jaccard").alias("jaccard"))
+    return out
+
+
 def all_pairs(pairs: DataFrame) -> DataFrame:
     """Every pair (doc_a < doc_b) that ``similar_pairs`` implies, copies' pairs included."""
     copy = pairs.filter("jaccard = 1").select(F.col("doc_a").alias("rep"), F.col("doc_b").alias("id"))
@@ -278,4 +318,4 @@ def keep_one(docs: DataFrame, pairs: DataFrame, doc_id: str = "doc_id") -> DataF
 
 
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return similar_pairs(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return every_pair(spark.read.parquet(f"{sf_dir}/documents.parquet"))
