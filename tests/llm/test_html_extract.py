@@ -74,6 +74,13 @@ def test_queries_pages_agree_with_plain_loop(spark):
         assert (got.text[i], got.n_removed[i]) == h.extract(page, bad)
 
 
+def test_share_of_a_large_host(spark):
+    part = lambda name, i, of: f"<p>{name}</p>" if i < of else ""
+    rows = [(i, f"http://big.org/{i}", f"<div>page {i}</div>{part('quoted', i, 519)}{part('menu', i, 520)}") for i in range(10_400)]
+    got = {r.page_id: (r.text, r.n_removed) for r in h.extract_text(spark.createDataFrame(rows, SCHEMA).repartition(4)).collect()}
+    assert got == {i: (f"page {i}" + "\nquoted" * (i < 519), int(i < 520)) for i in range(10_400)}
+
+
 def test_odd_rows(spark):
     rows = [(i, u, f"<div>menu</div><p>text {i}</p>") for i, u in enumerate(["http://A.com/x", "http://a.com:80/y", "http://u@a.com", None, "", "a.com", "http://a.com?q", "http://a.com#f", "http://a.com", "http://a.com"])]
     rows += [(None, "http://a.com", None), (11, None, ""), (12, "http://a.com", "<p>" + "long " * 100_000 + "</p>")]

@@ -20,10 +20,10 @@ from pyspark.sql import functions as F
 from .common import forget, fresh, map_arrow, name, small, written
 
 #: A subtree is template if at least so many pages of the host have it, and such a share of
-#: the host's pages; a share of more than MOST pages isn't asked for.
+#: the host's pages, however many those are: MOST caps nothing.
 MIN_PAGES = 5
 MIN_SHARE = 0.05
-MOST = 500
+MOST = float("inf")
 
 _TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^<>"']|"[^"]*"|'[^']*')*)/?>""", re.S)
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -128,7 +128,7 @@ def host_of(url: Column) -> Column:
     return F.coalesce(F.lower(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1)), F.lit(""))
 
 
-def templates(pages: DataFrame, url: str = "url", html: str = "html", min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE, most: int = MOST) -> DataFrame:
+def templates(pages: DataFrame, url: str = "url", html: str = "html", min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE) -> DataFrame:
     """(host, subtree) hashes that recur on many pages of a host; a repeated row counts as a page."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -140,12 +140,12 @@ def templates(pages: DataFrame, url: str = "url", html: str = "html", min_pages:
 
     rows = pages.filter(name(html).isNotNull()).select(host_of(name(url)).alias("host"), name(html).cast("binary").alias("raw"))
     size = rows.groupBy("host").agg(F.count("*").alias("n"))
-    least = F.greatest(F.lit(min_pages), F.least(F.ceil(F.col("n") * min_share), F.lit(most)))
+    least = F.greatest(F.lit(min_pages), F.ceil(F.col("n") * min_share))
     counts = rows.mapInArrow(run, "host string, subtree long").groupBy("host", "subtree").agg(F.count("*").alias("c")).filter(F.col("c") >= min_pages)
     return counts.join(size, "host").filter(F.col("c") >= least).select("host", "subtree")
 
 
-def extract_text(pages: DataFrame, url: str = "url", html: str = "html", out: str = "text", count: str = "n_removed", min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE, most: int = MOST) -> DataFrame:
+def extract_text(pages: DataFrame, url: str = "url", html: str = "html", out: str = "text", count: str = "n_removed", min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE) -> DataFrame:
     """``pages`` with the text outside template subtrees in place of the html.
 
     Pages without a host are a site of their own, "". A null html gives a null text with 0
@@ -154,7 +154,7 @@ def extract_text(pages: DataFrame, url: str = "url", html: str = "html", out: st
     """
     rest = [c for c in pages.columns if c != html]
     text, removed, host, key, hashes, raw_html = fresh(rest, out, count, "host_name", "host_key", "subtrees", "raw_html")
-    per = written(templates(pages, url, html, min_pages, min_share, most).groupBy(F.col("host").alias(key)).agg(F.collect_list("subtree").alias(hashes)), "templates")
+    per = written(templates(pages, url, html, min_pages, min_share).groupBy(F.col("host").alias(key)).agg(F.collect_list("subtree").alias(hashes)), "templates")
     total = per.agg(F.sum(F.size(hashes))).first()[0] or 0
     rows = pages.select(*map(name, rest), host_of(name(url)).alias(host), name(html).cast("binary").alias(raw_html))
     rows = rows.join(small(per, total), F.col(host) == F.col(key), "left").select(*map(name, rest), host, hashes, raw_html)
