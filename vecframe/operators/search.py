@@ -23,6 +23,9 @@ from .filters import ColumnBinding, Filter, MetaBinding
 
 #: Largest query matrix, in values, that every task holds; beyond it queries are joined.
 HELD_VALUES = 4 << 20
+#: Rows of a block, and distances that a task computes at once.
+HELD_ROWS = 32_768
+HELD_CELLS = 1 << 22
 #: Results that a threshold without a top gives at most.
 RANGE_TOP = 100_000
 #: Hybrid search ranks so many times the results that are asked for.
@@ -118,35 +121,26 @@ def batch_knn(df: DataFrame, queries: DataFrame, k: int, metric: str = "cosine",
 
 
 def _best_here(sent, k: int, metric: str):
+    """Of each block of rows, the ``k`` nearest of each query and what ties with the last of them; queries go in blocks too, so memory doesn't grow with them."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, q = sent.value
-        best: list[tuple[np.ndarray, list]] = [(np.zeros(0), [])] * len(ids)
-        types = None
         for batch in batches:
-            types = batch.schema.field(0).type
-            for at in range(0, batch.num_rows, 4096):
-                part = batch.slice(at, 4096)
-                keys = np.array(part.column(0).to_pylist(), object)
+            for at in range(0, batch.num_rows, HELD_ROWS):
+                part = batch.slice(at, HELD_ROWS)
                 v = _matrix(part.column(1))
-                if not len(v):
-                    continue
-                d = _block(v, q, metric)
-                for j in range(len(ids)):
-                    col = d[:, j]
-                    if len(col) > 2 * k:
-                        # all that tie with the k-th stay, so that ids can break the tie
-                        cut = np.partition(col, k - 1)[k - 1]
-                        take = np.flatnonzero(col <= cut + 1e-9)
-                    else:
-                        take = np.arange(len(col))
-                    dist = np.concatenate([best[j][0], _exact(v[take], q[j], metric)])
-                    who = best[j][1] + keys[take].tolist()
-                    order = sorted(range(len(who)), key=lambda i: (dist[i], who[i]))[:k]
-                    best[j] = (dist[order], [who[i] for i in order])
-        if types is not None and ids:
-            rows = [(ids[j], i, x) for j, (d, who) in enumerate(best) for i, x in zip(who, d.tolist())]
-            a, b, c = zip(*rows) if rows else ((), (), ())
-            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b, types), pa.array(c, pa.float64())], names=["query_id", "id", "distance"])
+                step = max(1, HELD_CELLS // max(1, len(v)))
+                for first in range(0, len(ids) if len(v) else 0, step):
+                    some = q[first : first + step]
+                    d = _block(some, v, metric)
+                    # all that tie with the k-th stay, so that ids can break the tie
+                    near = d <= np.partition(d, k - 1, axis=1)[:, k - 1 : k] + 1e-9 if len(v) > k else np.ones(d.shape, bool)
+                    for j in np.flatnonzero(near.sum(1) > 8 * k):
+                        rows = np.flatnonzero(near[j])
+                        keys, dist = part.column(0).take(pa.array(rows)).to_pylist(), _exact(v[rows], some[j], metric)
+                        near[j, rows[sorted(range(len(rows)), key=lambda i: (dist[i], keys[i]))[k:]]] = False
+                    of, rows = np.nonzero(near)
+                    yield pa.RecordBatch.from_arrays([pa.array([ids[first + j] for j in of.tolist()]), part.column(0).take(pa.array(rows)), pa.array(_exact(v[rows], some[of], metric))], names=["query_id", "id", "distance"])
 
     return run
 

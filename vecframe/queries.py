@@ -66,6 +66,36 @@ def _queries20(spark: SparkSession, d: str) -> DataFrame:
     return _t(spark, d, "embeddings").filter("vec_id < 20").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
 
 
+def _every_row(spark: SparkSession, d: str) -> DataFrame:
+    return _t(spark, d, "embeddings").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
+
+
+def _ranked(out: DataFrame) -> DataFrame:
+    return out.select("query_id", "rank", F.col("id").alias("vec_id"), F.round("distance", 6).alias("distance"))
+
+
+def batch_knn_all(spark: SparkSession, d: str) -> DataFrame:
+    """Every row of embeddings as a query, as in the other queries that end in _all."""
+    return _ranked(search.batch_knn(_t(spark, d, "embeddings"), _every_row(spark, d), TOP, "cosine", **_E))
+
+
+def batch_knn_joined_all(spark: SparkSession, d: str) -> DataFrame:
+    return _ranked(search.batch_knn(_t(spark, d, "embeddings"), _every_row(spark, d), TOP, "euclidean", held_values=0, **_E))
+
+
+def _whole_matrix(spark: SparkSession, d: str, metric: str) -> DataFrame:
+    e = _t(spark, d, "embeddings")
+    return search.distance_matrix(e, e, metric, "vec_id", "vec_id", "embedding", "embedding")
+
+
+def distance_matrix_all(spark: SparkSession, d: str) -> DataFrame:
+    return _whole_matrix(spark, d, "euclidean").select("a_id", "b_id", F.round("distance", 6).alias("distance"))
+
+
+def row_top_k_all(spark: SparkSession, d: str) -> DataFrame:
+    return search.row_top_k(_whole_matrix(spark, d, "dot_product"), 5).select("a_id", "rank", "b_id", F.round("distance", 6).alias("distance"))
+
+
 def batch_knn(spark: SparkSession, d: str) -> DataFrame:
     out = search.batch_knn(_t(spark, d, "embeddings"), _queries20(spark, d), TOP, "cosine", **_E)
     return out.select("query_id", "rank", F.col("id").alias("vec_id"), F.round("distance", 6).alias("distance"))
@@ -226,8 +256,8 @@ def _codec_knn(codec: str) -> Query:
 
 
 def recall_at_10(spark: SparkSession, d: str) -> DataFrame:
-    """Recall of codes and of inverted lists against exact search, over 20 queries."""
-    e, queries = _t(spark, d, "embeddings"), _queries20(spark, d)
+    """Recall of codes and of inverted lists against exact search, every row being a query."""
+    e, queries = _t(spark, d, "embeddings"), _every_row(spark, d)
     truth = search.batch_knn(e, queries, TOP, "cosine", **_E).persist()
     held = [(r[0], np.array(r[1])) for r in queries.collect()]
     out = []
@@ -262,6 +292,11 @@ def ivf_batch(spark: SparkSession, d: str) -> DataFrame:
     return out.select("query_id", "rank", F.col("id").alias("vec_id"), F.round("distance", 6).alias("distance"))
 
 
+def ivf_batch_all(spark: SparkSession, d: str) -> DataFrame:
+    rows, index = _ivf(spark, d)
+    return _ranked(ivf.batch_search(rows, index, _every_row(spark, d), TOP, len(index.centroids), "embedding", "vec_id"))
+
+
 def ivf_filled(spark: SparkSession, d: str) -> DataFrame:
     """A selective filter: the search widens until it has ten rows or has read all lists."""
     rows, index = _ivf(spark, d)
@@ -332,6 +367,11 @@ def queries() -> dict[str, Query]:
         "batch_knn_joined": batch_knn_joined,
         "distance_matrix": distance_matrix,
         "row_top_k": row_top_k,
+        "batch_knn_all": batch_knn_all,
+        "batch_knn_joined_all": batch_knn_joined_all,
+        "distance_matrix_all": distance_matrix_all,
+        "row_top_k_all": row_top_k_all,
+        "ivf_batch_all": ivf_batch_all,
         "rank_by_label": rank_by_label,
         "vql_seek": vql_seek,
         "vql_scan": vql_scan,
