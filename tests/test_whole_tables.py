@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 
 from vecframe import queries as q
+from vecframe.functions import text as X
 from vecframe.operators import search
 
 SF = "/root/testdata/sf0.001"
@@ -52,3 +53,27 @@ def test_ties_are_broken_by_id_over_blocks(spark, monkeypatch):
     asked = spark.createDataFrame([(i, [float(i % 2), float(1 - i % 2)]) for i in range(7)], "query_id long, query array<double>")
     got = {(r.query_id, r["rank"]): r.id for r in search.batch_knn(rows, asked, 3, "euclidean").collect()}
     assert got == {(i, k + 1): i % 2 + 2 * k for i in range(7) for k in range(3)}
+
+
+def overlap(item, doc):
+    a, b = set(X.tokens_of(item or "")), set(X.tokens_of(doc or ""))
+    return len(a & b) / len(a) if a else 0.0
+
+
+def test_overlap_with_every_item(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()
+    items = spark.read.parquet(f"{SF}/benchmark.parquet").select("item_id", "text").collect()
+    got = {(r.doc_id, r.item_id): r.score for r in q.lexical_overlap_all(spark, SF).collect()}
+    assert got.keys() == {(a[0], b[0]) for a in docs for b in items}
+    for a in docs:
+        for b in items:
+            assert abs(got[a[0], b[0]] - overlap(b[1], a[1])) < 1e-6
+
+
+def test_overlap_of_odd_rows(spark, tmp_path):
+    docs = [(1, None), (2, ""), (3, "A b, a"), (3, "c")]
+    items = [(0, "a B"), (1, ""), (2, None), (7, "c d")]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    got = sorted(map(tuple, q.lexical_overlap_all(spark, str(tmp_path)).collect()))
+    assert got == sorted((i, j, overlap(b, a)) for i, a in docs for j, b in items)

@@ -7,9 +7,11 @@ Query vectors are rows of ``embeddings`` itself, searches run over the whole tab
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -196,6 +198,33 @@ def lexical_overlap(spark: SparkSession, d: str) -> DataFrame:
     return docs.crossJoin(b).select("doc_id", "item_id", F.round(score, 6).alias("score"))
 
 
+def lexical_overlap_all(spark: SparkSession, d: str) -> DataFrame:
+    """Each document against every benchmark item, which the tasks hold as a matrix of tokens and items."""
+    docs = _t(spark, d, "documents").select("doc_id", F.array_distinct(X.tokens(F.col("text"))).alias("t"))
+    rows = _t(spark, d, "benchmark").select("item_id", F.coalesce(F.array_distinct(X.tokens(F.col("text"))), F.array().cast("array<string>")).alias("q")).collect()
+    at = {t: i for i, t in enumerate(sorted({t for r in rows for t in r[1]}))}
+    has = np.zeros((len(at) + 1, len(rows)), np.float32)
+    for j, r in enumerate(rows):
+        has[[at[t] for t in r[1]], j] = 1
+    held = spark.sparkContext.broadcast((pa.array([r[0] for r in rows], pa.int64()), pa.array(list(at), pa.string()), has))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        items, words, has = held.value
+        sizes = np.maximum(has.sum(0, dtype=np.float64), 1)
+        for b in batches:
+            for first in range(0, b.num_rows, 512):
+                part = b.slice(first, 512)
+                n = np.array([x or 0 for x in pc.list_value_length(part.column(1)).to_pylist()], int)
+                there = np.zeros((part.num_rows, len(has)), np.float32)
+                found = pc.fill_null(pc.index_in(part.column(1).flatten(), value_set=words), len(words)).to_numpy(zero_copy_only=False)
+                there[np.repeat(np.arange(len(n)), n), found] = 1
+                score = (there @ has).astype(np.float64) / sizes
+                ids = part.column(0).take(pa.array(np.repeat(np.arange(len(n)), len(items))))
+                yield pa.RecordBatch.from_arrays([ids, items.take(pa.array(np.tile(np.arange(len(items)), len(n)))), pa.array(score.ravel())], names=["doc_id", "item_id", "score"])
+
+    return docs.mapInArrow(run, f"doc_id {dict(docs.dtypes)['doc_id']}, item_id long, score double").withColumn("score", F.round("score", 6))
+
+
 _TOKENS_SQL = "list_filter(list_transform(regexp_split_to_array({}, '[^A-Za-z0-9]+'), lambda t: lower(t)), lambda t: t <> '')"
 
 
@@ -385,6 +414,7 @@ def queries() -> dict[str, Query]:
         "tokenize_docs": tokenize_docs,
         "lexical_overlap": lexical_overlap,
         "hybrid_search": hybrid_search,
+        "lexical_overlap_all": lexical_overlap_all,
         "text_search": text_search,
         "sq8_encode": sq8_encode,
         "sq8_knn": sq8_knn,
