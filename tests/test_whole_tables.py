@@ -77,3 +77,15 @@ def test_overlap_of_odd_rows(spark, tmp_path):
     spark.createDataFrame(items, "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
     got = sorted(map(tuple, q.lexical_overlap_all(spark, str(tmp_path)).collect()))
     assert got == sorted((i, j, overlap(b, a)) for i, a in docs for j, b in items)
+
+
+def test_hybrid_search_sees_every_document(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()
+    text = spark.read.parquet(f"{SF}/benchmark.parquet").filter("item_id = 0").first()["text"]
+    model = X.HashEmbedder(128)
+    unit = lambda v: v / (np.linalg.norm(v) or 1)
+    asked = unit(model.embed(text).astype(np.float64))
+    near = sorted((1.0 - unit(model.embed(t).astype(np.float64)) @ asked, i, t) for i, t in docs)[:50]
+    want = sorted((0.7 * x + 0.3 * (1 - overlap(text, t)), i) for x, i, t in near)[:10]
+    got = [(r.doc_id, r.distance) for r in q.hybrid_search_all(spark, SF).collect()]
+    assert [i for i, _ in got] == [i for _, i in want] and np.allclose([x for _, x in got], [x for x, _ in want], atol=2e-6)

@@ -235,6 +235,15 @@ def hybrid_search(spark: SparkSession, d: str) -> DataFrame:
     return _rounded(search.hybrid(e, _vector(spark, d), text, 0.3, TOP, "cosine", document=F.col("text"), **_E), "vec_id")
 
 
+def hybrid_search_all(spark: SparkSession, d: str) -> DataFrame:
+    """Every document by the vector of its text; text of benchmark item 0 as the query."""
+    model = X.HashEmbedder(128)
+    text = _t(spark, d, "benchmark").filter("item_id = 0").first()["text"]
+    docs = X.embed_column(_t(spark, d, "documents").select("doc_id", "text"), model)
+    hits = search.hybrid(docs, V.normalized(model.embed(text).tolist()), text, 0.3, TOP, "cosine", document=F.col("text"), id="doc_id", normalize=True)
+    return _rounded(hits, "doc_id")
+
+
 def text_search(spark: SparkSession, d: str) -> DataFrame:
     model = X.HashEmbedder(128)
     docs = X.embed_column(_t(spark, d, "documents").select("doc_id", "text"), model)
@@ -415,6 +424,7 @@ def queries() -> dict[str, Query]:
         "lexical_overlap": lexical_overlap,
         "hybrid_search": hybrid_search,
         "lexical_overlap_all": lexical_overlap_all,
+        "hybrid_search_all": hybrid_search_all,
         "text_search": text_search,
         "sq8_encode": sq8_encode,
         "sq8_knn": sq8_knn,
