@@ -39,8 +39,12 @@ def lists_for(n: int) -> int:
 
 
 def probes_for(lists: int, ef_search: int = 50) -> int:
-    """How many lists are read at first: a quarter of them at the default ``ef_search``."""
-    return min(lists, max(1, -(-lists * ef_search // 200)))
+    """How many lists are read at first: four fifths of them at the default ``ef_search``, 65 % at least.
+
+    Vectors without clusters have their neighbours in many lists: over sf0.1's, a quarter of
+    the lists gives a recall@10 of 0.71, four fifths give 0.98.
+    """
+    return min(lists, max(1, -(-lists * (650 + 3 * ef_search) // 1000)))
 
 
 def train(df: DataFrame, lists: int, metric: str, vector: str = "vector", id: str = "id", iterations: int = 20, rows: int = TRAIN_ROWS) -> Ivf:

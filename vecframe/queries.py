@@ -283,12 +283,21 @@ z AS (SELECT v.vec_id, sqrt(sum((y - q.x) * (y - q.x))) AS dist FROM v JOIN (SEL
 SELECT vec_id, round(dist, 6) + 0.0 AS distance FROM z ORDER BY dist, vec_id LIMIT {TOP}"""
 
 
+#: Parts and bits of the codes; the rows that they rank first are scored by their vectors.
+CODE = {"pq_dim": 32, "pq_bits": 6}
+
+
+def reranked(n: int) -> int:
+    """How many of ``n`` rows are scored again, so that recall stays as the table grows."""
+    return max(10 * TOP, 2 * round(n**0.5))
+
+
 def _codec_knn(codec: str) -> Query:
     def run(spark: SparkSession, d: str) -> DataFrame:
-        e = _t(spark, d, "embeddings")
-        q = quantize.train_on(e, QuantParams(codec, pq_dim=16, pq_bits=6), "embedding", "vec_id")
-        codes = quantize.encode_column(e, q, "embedding")
-        return _rounded(quantize.scored_codes(codes, q, _vector(spark, d), "cosine").orderBy("distance", "vec_id").limit(TOP), "vec_id")
+        e, query = _t(spark, d, "embeddings"), _vector(spark, d)
+        q = quantize.train_on(e, QuantParams(codec, **CODE), "embedding", "vec_id")
+        rough = quantize.scored_codes(quantize.encode_column(e, q, "embedding"), q, query, "cosine").orderBy("distance", "vec_id").limit(reranked(e.count()))
+        return _rounded(search.exact_knn(rough.drop("distance"), query, TOP, "cosine", **_E), "vec_id")
 
     return run
 
@@ -343,8 +352,10 @@ def ivf_filled(spark: SparkSession, d: str) -> DataFrame:
 
 def ivf_pq_rerank(spark: SparkSession, d: str) -> DataFrame:
     e = _t(spark, d, "embeddings")
-    index = ivf.train_pq(e, 16, "cosine", QuantParams("pq", pq_dim=16, pq_bits=6), "embedding", "vec_id")
-    return _rounded(ivf.search_pq(ivf.encode_pq(e, index, "embedding"), index, _vector(spark, d), TOP, 8, "embedding", "vec_id"), *_HIT)
+    n = e.count()
+    index = ivf.train_pq(e, ivf.lists_for(n), "cosine", QuantParams("pq", **CODE), "embedding", "vec_id")
+    probes = ivf.probes_for(len(index.ivf.centroids))
+    return _rounded(ivf.search_pq(ivf.encode_pq(e, index, "embedding"), index, _vector(spark, d), TOP, probes, "embedding", "vec_id", -(-reranked(n) // TOP)), *_HIT)
 
 
 def upsert_latest(spark: SparkSession, d: str) -> DataFrame:
