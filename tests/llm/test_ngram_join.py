@@ -47,53 +47,149 @@ def check(got, want):
     assert len(got) >= 0.9 * len(want)
 
 
-@pytest.mark.parametrize("block", [2000, 2])
-def test_recall_and_precision(spark, block):
+def as_dict(pairs):
+    rows = pairs.collect()
+    out = {(r.doc_a, r.doc_b): r.jaccard for r in rows}
+    assert len(out) == len(rows)
+    return out
+
+
+def test_recall_and_precision(spark):
     rows = near_copies()
-    pairs = nj.similar_pairs(docs_of(spark, rows), block=block)
-    check({(r.doc_a, r.doc_b): r.jaccard for r in nj.all_pairs(pairs).collect()}, brute(rows))
+    check(as_dict(nj.all_pairs(nj.similar_pairs(docs_of(spark, rows)))), brute(rows))
+
+
+def classes_of(pairs):
+    """{doc: (class, highest jaccard, links, links of the class)} of pairs, without the documents that name classes."""
+    low = {x: x for p in pairs for x in p}
+    for _ in low:
+        before = dict(low)
+        for a, b in pairs:
+            low[a] = low[b] = min(low[a], low[b])
+        if low == before:
+            break
+    of = lambda x: [j for p, j in pairs.items() if x in p]
+    total = {c: sum(low[a] == c for a, _ in pairs) for c in low.values()}
+    return {x: (c, max(of(x)), len(of(x)), total[c]) for x, c in low.items() if c != x}
+
+
+def check_classes(found, pairs):
+    rows = found.collect()
+    got = {r.doc_b: (r.doc_a, r.jaccard, r.n_links, r.class_links) for r in rows}
+    assert len(got) == len(rows) and got == {x: (c, pytest.approx(j), n, t) for x, (c, j, n, t) in classes_of(pairs).items()}
 
 
 def test_query_against_brute_force(spark):
     rows = [tuple(r) for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()]
-    check({(r.doc_a, r.doc_b): r.jaccard for r in nj.all_pairs(nj.op8(spark, SF)).collect()}, brute(rows))
+    pairs = as_dict(nj.all_pairs(nj.similar_pairs(docs_of(spark, rows))))
+    check(pairs, brute(rows))
+    check_classes(nj.op8(spark, SF), pairs)
 
 
-@pytest.mark.parametrize("block", [2000, 2])
-def test_every_pair_of_copies_is_written_out(spark, tmp_path, block):
+@pytest.mark.parametrize("block", [2000, 3])
+def test_classes_count_every_link(spark, block):
+    rows = near_copies(30, 6)
+    top = max(i for i, _ in rows)
+    rows += [(top + 1 + k, t) for k, (_, t) in enumerate(rows[:30] + rows[:6] * 5)] + rows[5:9] + [(None, rows[0][1]), (5000, None), (5001, "")]
+    docs = docs_of(spark, rows)
+    pairs = as_dict(nj.all_pairs(nj.similar_pairs(docs)))
+    check_classes(nj.similar_classes(docs, block=block), pairs)
+    low = classes_of(pairs)
+    kept = [r.doc_id for r in nj.keep_one(docs, nj.links(docs, block=block)).collect()]
+    assert sorted(map(repr, kept)) == sorted(repr(i) for i, _ in rows if i not in low)
+    assert nj.similar_classes(docs.limit(0)).count() == 0
+
+
+def families(n, seed=3):
+    """Per family two texts about ``link`` similar, and a near copy of each."""
+    rng, rows = random.Random(seed), []
+    word = lambda: f"w{rng.randrange(10**6)}"
+    for k in range(n):
+        link = rng.choice([0.52, 0.55, 0.57, 0.62, 0.7, 0.75, 0.85])
+        a = [word() for _ in range(120)]
+        common = round(2 * 118 * link / (1 + link)) + 2
+        b = a[:common] + [word() for _ in range(120 - common)]
+        rows += [(4 * k + i, " ".join(x)) for i, x in enumerate((a, a[:-2] + [word(), word()], b, [word(), word()] + b[2:]))]
+    return rows
+
+
+def test_recall_in_each_band_beside_close_partners(spark):
+    rows = families(90)
+    want = {p: j for i in range(0, len(rows), 4) for p, j in brute(rows[i : i + 4]).items()}
+    got = as_dict(nj.similar_pairs(docs_of(spark, rows)))
+    assert all(abs(want[p] - j) < 1e-9 for p, j in got.items())
+    for low, high in ((0.5, 0.6), (0.6, 0.8), (0.8, 1.01)):
+        band = {p for p, j in want.items() if low <= j < high}
+        assert len(band) > 60 and len(band & got.keys()) >= 0.92 * len(band), (low, len(band & got.keys()), len(band))
+
+
+def test_pairs_do_not_depend_on_the_block(spark, monkeypatch):
+    rows = near_copies() + [(i + 10_000, t) for i, t in families(12)]
+    hub = "all of these share one long opening that goes on and on for quite some time until it ends".split()
+    rows += [(20_000 + i, " ".join(hub + [f"own{i}_{k}" for k in range(i % 12)])) for i in range(60)]
+    want = as_dict(nj.similar_pairs(docs_of(spark, rows)))
+    check(as_dict(nj.all_pairs(nj.similar_pairs(docs_of(spark, rows)))), brute(rows))
+    for block in (1, 2, 7):
+        assert as_dict(nj.similar_pairs(docs_of(spark, rows), block=block)) == want
+    monkeypatch.setattr(nj, "BLOCK_GRAMS", 300)
+    assert as_dict(nj.similar_pairs(docs_of(spark, rows))) == want
+
+
+def test_a_chain_moves_each_text_to_few_cells(spark, monkeypatch):
+    """Texts that only chain up, each like the next, make no component whose parts all meet."""
+    words = [f"c{i}" for i in range(6000)]
+    rows = [(i, " ".join(words[5 * i : 5 * i + 40])) for i in range(1000)]
+    cells, kept = [], nj.written
+
+    def seen(df, what):
+        out = kept(df, what)
+        if what == "forest-cells":
+            cells.append(out.count())
+        return out
+
+    monkeypatch.setattr(nj, "written", seen)
+    got = as_dict(nj.similar_pairs(docs_of(spark, rows), block=50))
+    assert cells[0] < 40 * len(rows)
+    want = {(i, i + k): 0 for i in range(1000) for k in (1, 2) if i + k < 1000}
+    assert got.keys() <= want.keys() and len(got) >= 0.92 * len(want)
+
+
+def test_copies_are_members_of_their_class(spark):
     rows = near_copies()
     top = max(i for i, _ in rows)
     rows += [(top + 1 + k, t) for k, (_, t) in enumerate(rows[:40] + rows[:10] * 4)]
     want = brute(rows)
-    docs_of(spark, rows).write.parquet(str(tmp_path / "documents.parquet"))
-    pairs = nj.op8(spark, str(tmp_path)) if block == nj.BLOCK else nj.every_pair(docs_of(spark, rows), block=block)
-    got = [((r.doc_a, r.doc_b), r.jaccard) for r in pairs.collect()]
-    assert len(dict(got)) == len(got)
-    check(dict(got), want)
-    assert {p for p, j in want.items() if j == 1} <= dict(got).keys()
+    pairs = as_dict(nj.similar_pairs(docs_of(spark, rows)))
+    check(as_dict(nj.all_pairs(nj.similar_pairs(docs_of(spark, rows)))), want)
+    sets = {}
+    for i, t in sorted(rows):
+        sets.setdefault(frozenset(grams(t)), []).append(i)
+    assert {p for p, j in pairs.items() if j == 1} == {(v[0], x) for v in sets.values() for x in v[1:]}
+    assert all({a, b} <= {v[0] for v in sets.values()} for (a, b), j in pairs.items() if j < 1)
 
 
-def test_every_pair_of_documents_with_several_texts(spark):
+def test_documents_with_several_texts(spark):
     a, b = "one two three four five six seven", "one two three four five six eight"
-    rows = [(1, a), (2, a), (2, b), (3, b), (4, a), (4, b), (5, "else")]
-    got = [((r.doc_a, r.doc_b), r.jaccard) for r in nj.every_pair(docs_of(spark, rows)).collect()]
-    assert len(dict(got)) == len(got) and dict(got) == brute(rows)
     rows = [(2, a), (2, b), (3, b), (4, a)]
-    assert {(r.doc_a, r.doc_b): r.jaccard for r in nj.every_pair(docs_of(spark, rows)).collect()} == brute(rows)
-    assert nj.every_pair(docs_of(spark, rows).limit(0)).count() == 0
-
-
-def test_similar_shortens_prefixes_to_the_target():
-    rng = np.random.default_rng(1)
-    sets = []
-    for _ in range(30):
-        base = rng.integers(0, 1 << 62, 200, dtype=np.uint64)
-        sets.append(np.unique(base))
-        sets.append(np.unique(np.append(base[: rng.integers(135, 200)], rng.integers(0, 1 << 62, 20, dtype=np.uint64))))
-    got = {(i, j) for i, j, _ in nj.similar(sets, np.zeros(60), False, 0.5, nj.TREES, nj.RECALL)}
-    want = {(i, i + 1) for i in range(0, 60, 2) if len(np.intersect1d(sets[i], sets[i + 1])) / len(np.union1d(sets[i], sets[i + 1])) >= 0.5}
-    assert got <= want and len(got) >= 0.9 * len(want)
-    assert nj.found(0.5, nj.shortest(0.5, nj.TREES, 0.92), nj.TREES) >= 0.92
+    got = as_dict(nj.similar_pairs(docs_of(spark, rows)))
+    assert {p for p, j in got.items() if j == 1} == {(2, 3), (2, 4)} and got.keys() <= brute(rows).keys()
+    assert nj.similar_pairs(docs_of(spark, rows).limit(0)).count() == 0
+
+
+def test_grams_are_hashed_alike_wherever_they_stand():
+    rng = random.Random(2)
+    words = [rng.choice(["a", "bb", "Stra\u00dfe", "x" * 50, "\u4e2d\u6587"]) + str(rng.randrange(9)) for _ in range(3000)]
+    got, of = {}, {}
+    for i in range(len(words) - 2):
+        [h] = nj.grams("  ".join(words[i : i + 3]).encode()).tolist()
+        got.setdefault(h, set()).add(tuple(words[i : i + 3]))
+        of[tuple(words[i : i + 3])] = h
+    assert all(len(x) == 1 for x in got.values()) and set(nj.grams(" \n".join(words).encode()).tolist()) == set(of.values())
+    assert len(nj.grams(b"")) == 0 and len(nj.grams(b"one")) == 1 and len(nj.grams(b"one \xff two")) == 1
+
+
+def test_prefixes_are_as_short_as_the_recall_needs():
+    assert nj.found(0.5, nj.shortest(0.5, nj.TREES, 0.92), nj.TREES) >= 0.92 > nj.found(0.5, nj.shortest(0.5, nj.TREES, 0.92) + 1, nj.TREES)
     with pytest.raises(ValueError):
         nj.shortest(0.1, 2, 0.99)
 
@@ -109,7 +205,7 @@ def test_close_partners_do_not_hide_links_near_the_threshold(link):
         b = np.append(a[:common], new(400 - common))
         sets = [np.unique(x) for x in (a, np.append(a[10:], new(10)), b, np.append(b[:-10], new(10)))]
         want = {(i, j) for i in (0, 1) for j in (2, 3) if len(np.intersect1d(sets[i], sets[j])) / len(np.union1d(sets[i], sets[j])) >= 0.5}
-        got = {(i, j) for i, j, _ in nj.similar(sets, np.zeros(4), False, 0.5, nj.TREES, nj.RECALL)}
+        got = {(i, j) for i, j, _ in nj.similar(sets, 0.5, nj.TREES, nj.RECALL)}
         assert {(0, 1), (2, 3)} <= got <= want | {(0, 1), (2, 3)}
         found, links, apart = found + len(got & want), links + len(want), apart + (not got & want)
     assert found >= 0.92 * links and apart <= 0.08 * 60, (found, links, apart)

@@ -7,13 +7,18 @@ still meets in some trie with the target recall.
 
 1. One pass over the texts gives each document its trie keys at that prefix and a digest of
    its set. Documents with equal sets are one node from here on.
-2. Sorting by trie key links every node to the least of its trie node; these links, linear
-   in the documents, are joined into connected components by star contraction.
-3. Texts of nodes that have company move once, to their component. There the tries are
-   searched at the shortest prefix, which holds what longer ones would find, so that pairs
-   at the threshold are found with the target recall whatever closer pairs a row has. Every
-   candidate is verified on the sets. A component of more than ``BLOCK`` nodes is cut into blocks and every pair of
-   blocks is a task of its own, so no candidate is dropped.
+2. Aggregation by trie key finds the trie nodes that several documents share, and the least
+   document of each, its leader. A document goes to the cells of its leaders, of which it
+   has as many as it has different ones: linear in the documents, whatever they chain up to.
+3. Texts of documents that have company move to their cells. There the tries are sorted and
+   walked from the longest prefixes to the shortest, until all pairs of the cell that can
+   ever meet are decided: verified on the sets, or ruled out since Jaccard distance is a
+   metric and a close partner, verified at a longer prefix, is known to be too far. A pair
+   that meets in several cells belongs to the cell of the first trie in which it meets.
+
+A cell of more than ``BLOCK`` documents, or ``BLOCK_GRAMS`` n-grams, is cut into blocks and
+every pair of blocks is a task of its own. What is found depends on neither: the pairs that
+share a shortest prefix in some trie are verified, all of them and no others.
 
 64-bit hashes stand for n-grams, and 128-bit ones for sets, in the verification.
 """
@@ -26,86 +31,99 @@ from math import log
 
 import numpy as np
 import pyarrow as pa
-import xxhash
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import forget, fresh, name, small, written
 
 N = 3
+#: Documents that share half of their n-grams are near copies; 40 tries are the fewest with
+#: which a prefix of 4 values, long enough to keep strangers apart, meets ``RECALL`` there.
 THRESHOLD = 0.5
 TREES = 40
 DEEPEST = 8
 RECALL = 0.92
 BLOCK = 2000
+BLOCK_GRAMS = 4 << 20
 SEED = 17
-REMEMBERED = 1_000_000
-_M1, _M2, _M3, _MIX = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xFF51AFD7ED558CCD))
+_M1, _M2, _M3 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
+_MIX1, _MIX2, _HALF = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53), np.uint64(33)
+#: An odd base and its inverse modulo 2**64, and a random value for each byte.
+_BASES = (_M1, np.uint64(pow(int(_M1), -1, 1 << 64)))
+_BYTES = np.random.default_rng(SEED).integers(0, 1 << 64, 256, np.uint64)
+_powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+
+
+def _powers_to(n: int) -> tuple[np.ndarray, np.ndarray]:
+    if len(_powers[0]) < n:
+        for k, base in enumerate(_BASES):
+            p = np.full(max(n, 1 << 16), base, np.uint64)
+            p[0] = 1
+            _powers[k] = np.multiply.accumulate(p)
+    up, down = _powers[0][:n], _powers[1][:n]
+    if n > 1 << 22:
+        _powers[:] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+    return up, down
 
 
-class _Words(dict):
-    def __missing__(self, word: str) -> int:
-        h = self[word] = xxhash.xxh64_intdigest(word.encode("utf-8", "surrogateescape"))
-        return h
-
+def grams(raw: bytes, n: int = N) -> np.ndarray:
+    """Sorted hashes of the distinct word n-grams; a text of fewer words has one gram of all its words, a text of none has none.
 
-_words = _Words()
+    An n-gram's hash is a polynomial in its bytes, words joined by one space, from the
+    differences of running sums, and then mixed.
+    """
+    words = raw.decode("utf-8", "surrogateescape").lower().split()
+    if not words:
+        return np.zeros(0, np.uint64)
+    n = min(n, len(words))
+    b = np.frombuffer(" ".join(words).encode("utf-8", "surrogateescape") + b" ", np.uint8)
+    up, down = _powers_to(len(b))
+    sums = np.zeros(len(b) + 1, np.uint64)
+    np.cumsum(_BYTES[b] * up, out=sums[1:])
+    ends = np.flatnonzero(b == 32)
+    starts = np.concatenate([[0], ends[: len(ends) - n] + 1])
+    h = (sums[ends[n - 1 :]] - sums[starts]) * down[starts]
+    h ^= h >> _HALF
+    h *= _MIX1
+    h ^= h >> _HALF
+    h *= _MIX2
+    h ^= h >> _HALF
+    h.sort()
+    new = np.ones(len(h), bool)
+    np.not_equal(h[1:], h[:-1], out=new[1:])
+    return h[new]
 
 
-def grams(raw: bytes, n: int = N) -> np.ndarray:
-    """Sorted hashes of the distinct word n-grams; a text of fewer words has one gram of all its words, a text of none has none."""
-    words = raw.decode("utf-8", "surrogateescape").lower().split()
-    if len(_words) > REMEMBERED:
-        _words.clear()
-    h = np.fromiter(map(_words.__getitem__, words), np.uint64, len(words))
-    n = min(n, len(h))
-    if not n:
-        return h
-    g = np.zeros(len(h) - n + 1, np.uint64)
-    for i in range(n):
-        g = (g ^ (g >> np.uint64(29))) * _M1 + (h[i : i + len(g)] ^ _M3) * _M2
-    g ^= g >> np.uint64(33)
-    g *= _MIX
-    g ^= g >> np.uint64(32)
-    return np.unique(g)
+_kept: dict[tuple[int, int], tuple[np.ndarray, np.ndarray]] = {}
 
 
 def _factors(trees: int, depth: int) -> tuple[np.ndarray, np.ndarray]:
-    rng = np.random.default_rng(SEED)
-    a = rng.integers(0, 1 << 32, (DEEPEST, trees), np.uint32) | np.uint32(1)
-    b = rng.integers(0, 1 << 32, (DEEPEST, trees), np.uint32)
-    return a[:depth].ravel(), b[:depth].ravel()
+    if (trees, depth) not in _kept:
+        rng = np.random.default_rng(SEED)
+        a = rng.integers(0, 1 << 32, (DEEPEST, trees), np.uint32) | np.uint32(1)
+        b = rng.integers(0, 1 << 32, (DEEPEST, trees), np.uint32)
+        _kept[trees, depth] = a[:depth].ravel(), b[:depth].ravel()
+    return _kept[trees, depth]
 
 
 def signature(g: np.ndarray, trees: int, depth: int) -> np.ndarray:
     """MinHash values of a set as (depth, trees): level by level, so that shorter ones are prefixes."""
-    a, b = _factors_kept(trees, depth)
+    a, b = _factors(trees, depth)
     x = (g >> np.uint64(32)).astype(np.uint32)
     low = np.full(len(a), 0xFFFFFFFF, np.uint32)
-    for i in range(0, len(x), 2048):
-        h = x[i : i + 2048, None] * a
+    for i in range(0, len(x), 512):
+        h = x[i : i + 512, None] * a
         h += b
         np.minimum(low, h.min(0), out=low)
     return low.reshape(depth, trees)
 
 
-_kept: dict[tuple[int, int], tuple[np.ndarray, np.ndarray]] = {}
-
-
-def _factors_kept(trees: int, depth: int) -> tuple[np.ndarray, np.ndarray]:
-    if (trees, depth) not in _kept:
-        _kept[trees, depth] = _factors(trees, depth)
-    return _kept[trees, depth]
-
-
 def prefix_keys(sig: np.ndarray) -> np.ndarray:
-    """One key per level and trie, of the values down to that level: (depth, trees)."""
-    out = np.empty(sig.shape, np.uint64)
+    """One key for each trie, of all the values of its signature."""
     key = np.arange(1, sig.shape[1] + 1, dtype=np.uint64) * _M3
-    for d, level in enumerate(sig):
+    for level in sig:
         key = (key ^ (key >> np.uint64(31))) * _M1 + (level.astype(np.uint64) + np.uint64(1)) * _M2
-        out[d] = key ^ (key >> np.uint64(32))
-    return out
+    return key ^ (key >> np.uint64(32))
 
 
 def found(j, depth: int, trees: int):
@@ -121,35 +139,74 @@ def shortest(threshold: float, trees: int, recall: float) -> int:
     return fits[-1]
 
 
-def similar(sets: list[np.ndarray], side: np.ndarray, across: bool, threshold: float, trees: int, recall: float) -> Iterator[tuple[int, int, float]]:
-    """Verified pairs of one component: indices and Jaccard similarity.
+def _sorted_tries(sets: list[np.ndarray], trees: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Of each trie the rows in the order of their signatures, and how long a prefix each shares with the next."""
+    sigs = np.stack([signature(g, trees, DEEPEST) for g in sets])
+    out = []
+    for t in range(trees):
+        s = sigs[:, :, t]
+        order = np.lexsort(s.T[::-1])
+        s = s[order]
+        out.append((order, np.cumprod(s[1:] == s[:-1], axis=1).sum(1)))
+    return out
+
 
-    With ``across``, only pairs of different ``side``. Every row is searched at the shortest
-    prefix: the pairs it has found say nothing of those near the threshold.
+def _together(order: np.ndarray, shared: np.ndarray, depth: int) -> Iterator[np.ndarray]:
+    """The rows of each node of a sorted trie at a depth that has several."""
+    edges = np.flatnonzero(np.diff(np.concatenate([[False], shared >= depth, [False]]).astype(np.int8)))
+    for a, b in edges.reshape(-1, 2).tolist():
+        yield order[a : b + 1]
+
+
+def similar(sets: list[np.ndarray], threshold: float, trees: int, recall: float, tries: np.ndarray | None = None, side: np.ndarray | None = None) -> Iterator[tuple[int, int, float]]:
+    """Verified pairs of one cell: indices and Jaccard similarity.
+
+    ``tries`` has a bit for each trie through which a row came here: a pair counts if the
+    first trie in which it meets is one of them. With ``side``, only pairs of different
+    sides count.
     """
     m = len(sets)
     depth = shortest(threshold, trees, recall)
-    keys = np.stack([prefix_keys(signature(g, trees, depth))[-1] for g in sets])
+    sorted_tries = _sorted_tries(sets, trees)
+    seen, left = np.zeros((m, m), bool), np.zeros((m, m), bool)
+    for t, trie in enumerate(sorted_tries):
+        for rows in _together(*trie, depth):
+            at = np.ix_(rows, rows)
+            if tries is None or int(tries[rows[0]]) >> t & 1:
+                left[at] |= ~seen[at]
+            seen[at] = True
+    left &= np.triu(np.ones((m, m), bool), 1)
+    if side is not None:
+        left &= side[:, None] != side[None, :]
     sizes = np.array([len(g) for g in sets])
     _, ids = np.unique(np.concatenate(sets), return_inverse=True)
-    ends = np.cumsum(sizes)
-    ids_of = [ids[e - s : e] for e, s in zip(ends, sizes)]
+    ids_of = np.split(ids, np.cumsum(sizes)[:-1])
     mark = np.zeros(int(ids.max()) + 1, bool)
-    meet = np.zeros((m, m), bool)
-    for k in keys.T:
-        meet |= k[:, None] == k[None, :]
-    meet &= np.triu(np.ones((m, m), bool), 1)
-    if across:
-        meet &= side[:, None] != side[None, :]
-    for i in np.flatnonzero(meet.any(1)).tolist():
-        others = np.flatnonzero(meet[i])
-        mark[ids_of[i]] = True
-        there = mark[np.concatenate([ids_of[j] for j in others])]
-        shared = np.add.reduceat(there, np.concatenate([[0], np.cumsum(sizes[others])[:-1]]), dtype=np.int64)
-        mark[ids_of[i]] = False
-        jac = shared / (sizes[i] + sizes[others] - shared)
-        good = jac >= threshold
-        yield from ((i, int(j), float(x)) for j, x in zip(others[good], jac[good]))
+    far = np.full((m, m), np.nan, np.float32)
+    for d in range(DEEPEST, depth - 1, -1):
+        if not left.any():
+            break
+        meet = np.zeros((m, m), bool)
+        for trie in sorted_tries:
+            for rows in _together(*trie, d):
+                meet[np.ix_(rows, rows)] = True
+        meet &= left
+        left &= ~meet
+        for i in np.flatnonzero(meet.any(1)).tolist():
+            others = np.flatnonzero(meet[i])
+            if not np.isnan(far[i]).all():
+                close = int(np.nanargmin(far[i]))
+                others = others[~(far[close, others] - far[close, i] > 1 - threshold + 1e-5)]
+                if not len(others):
+                    continue
+            mark[ids_of[i]] = True
+            there = mark[np.concatenate([ids_of[j] for j in others])]
+            shared = np.add.reduceat(there, np.concatenate([[0], np.cumsum(sizes[others])[:-1]]), dtype=np.int64)
+            mark[ids_of[i]] = False
+            jac = shared / (sizes[i] + sizes[others] - shared)
+            far[i, others] = far[others, i] = 1 - jac
+            good = jac >= threshold
+            yield from ((i, int(j), float(x)) for j, x in zip(others[good], jac[good]))
 
 
 def _digest(g: np.ndarray) -> bytes:
@@ -157,39 +214,44 @@ def _digest(g: np.ndarray) -> bytes:
 
 
 def _sketches(docs: DataFrame, doc_id: str, text: str, n: int, trees: int, depth: int) -> DataFrame:
+    """id, digest of the set, its size, and a key of each trie; of all rows that have an id and a word."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            digests, keys, keep = [], [], []
+            digests, sizes, keys, keep = [], [], [], []
             for i, x in enumerate(b.column(1)):
                 g = grams(x.as_py(), n)
                 if len(g):
                     keep.append(i)
                     digests.append(_digest(g))
-                    keys.append(prefix_keys(signature(g, trees, depth))[-1].view(np.int64))
+                    sizes.append(len(g))
+                    keys.append(prefix_keys(signature(g, trees, depth)).view(np.int64))
             flat = np.concatenate(keys) if keys else np.zeros(0, np.int64)
             lists = pa.ListArray.from_arrays(pa.array(np.arange(len(keep) + 1, dtype=np.int32) * trees), pa.array(flat))
-            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(keep, pa.int64())), pa.array(digests, pa.binary()), lists], names=["id", "digest", "keys"])
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(keep, pa.int64())), pa.array(digests, pa.binary()), pa.array(sizes, pa.int64()), lists], names=["id", "digest", "size", "keys"])
 
     rows = docs.filter(name(doc_id).isNotNull() & name(text).isNotNull()).select(name(doc_id).alias("id"), name(text).cast("binary").alias("raw"))
-    return rows.mapInArrow(run, f"id {dict(rows.dtypes)['id']}, digest binary, keys array<long>")
+    return rows.mapInArrow(run, f"id {dict(rows.dtypes)['id']}, digest binary, size long, keys array<long>")
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, component) of every node of undirected edges; a component's name is its least node.
 
     Large-star and small-star contraction alternate until nothing changes; every round is a
-    written table, the one before is deleted.
+    written table, the one before is deleted. The least neighbour comes from an aggregation
+    and a join, so a node of many edges is split like any skewed key.
     """
     now = written(edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).filter("u <> v").distinct(), "star-0")
     state = None
     while True:
-        both = now.select("u", "v").unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        w = Window.partitionBy("u")
-        large = both.withColumn("m", F.least("u", F.min("v").over(w))).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        low = large.filter("u <> v").distinct().withColumn("m", F.min("v").over(w))
-        out = low.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v"))).filter("u <> v").distinct()
+        both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        lows = both.groupBy("u").agg(F.least("u", F.min("v")).alias("m"))
+        large = both.filter("v > u").join(lows, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
+        lows = large.groupBy("u").agg(F.min("v").alias("m"))
+        pairs = large.join(lows, "u")
+        out = pairs.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(lows.select("u", F.col("m").alias("v"))).filter("u <> v").distinct()
         nxt = written(out, "star")
-        seen = nxt.agg(F.count("*"), F.countDistinct("u"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        seen = nxt.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         forget(now)
         now = nxt
         if state == tuple(seen):
@@ -198,101 +260,152 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     return now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
 
 
-def _forest(docs: DataFrame, threshold: float, n: int, trees: int, recall: float, doc_id: str, text: str, block: int) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Sketches of all rows, nodes of equal sets, and the verified pairs of unequal sets: (doc_a, doc_b, set_a, set_b, jaccard), repeated ones too."""
+def _forest(docs: DataFrame, threshold: float, n: int, trees: int, recall: float, doc_id: str, text: str, block: int, every: bool) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Sets that have company, members of sets that several documents have, and what the cells found.
+
+    Sets: digest, node (the least doc_id that has it) and at, a number of its own. Members:
+    digest, node and id, once each. Found, with ``every``: each verified pair of sets once,
+    as (doc_a, doc_b, jaccard) of their nodes. Else, of each set of a cell that has links
+    there: at, node, root (the least node that links connect it with in the cell), links
+    (how many documents it is linked with through the cell) and jaccard (the highest), so
+    what is written grows with the documents and not with their pairs.
+    """
+    if trees > 63:
+        raise ValueError("at most 63 tries")
     depth = shortest(threshold, trees, recall)
     sketches = written(_sketches(docs, doc_id, text, n, trees, depth), "forest-keys")
-    nodes = written(sketches.groupBy("digest", "keys").agg(F.min("id").alias("node"), F.count("*").alias("n")), "forest-nodes")
-    keyed = nodes.select("node", F.explode("keys").alias("key"))
-    links = keyed.withColumn("low", F.min("node").over(Window.partitionBy("key"))).filter("node <> low").select(F.col("node").alias("a"), F.col("low").alias("b")).distinct()
-    joined = components(links)
-    # sets that only share a doc_id have no link, but their texts must meet too
-    twice = nodes.groupBy("node").count().filter("count > 1").select("node", F.col("node").alias("component"))
-    members = written(joined.unionByName(twice.join(joined, "node", "left_anti")), "forest-members")
-    large = members.groupBy("component").count().filter(F.col("count") > block).select("component", F.ceil(F.col("count") / block).cast("int").alias("blocks"))
-    large = written(large, "forest-large")
-    placed = members.join(small(large, large.count()), "component", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
-    placed = placed.withColumn("side", F.pmod(F.xxhash64("node"), F.col("blocks").cast("long")).cast("int"))
+    nodes = sketches.groupBy("digest", "size", "keys").agg(F.min("id").alias("node"), F.count("*").alias("n"))
+    nodes = written(nodes.withColumn("at", F.monotonically_increasing_id()), "forest-nodes")
+    several = nodes.filter("n > 1").select("digest", "node")
+    members = written(sketches.select("id", "digest").join(small(several, several.count()), "digest").distinct(), "forest-members")
+    keyed = nodes.select("at", F.posexplode("keys").alias("trie", "key"))
+    shared = keyed.groupBy("key").agg(F.count("*").alias("c"), F.min("at").alias("leader")).filter("c > 1").select("key", "leader")
+    sent = keyed.join(shared, "key").groupBy("leader", "at").agg(F.expr("bit_or(shiftleft(1L, trie))").alias("tries"))
+    copies = members.groupBy("digest").agg(F.count("*").alias("copies"))
+    sent = sent.join(nodes.select("at", "node", "digest", "size"), "at").join(copies, "digest", "left").withColumn("copies", F.coalesce("copies", F.lit(1).cast("long")))
+    sent = written(sent, "forest-cells")
+    forget(sketches)
+    parts = F.greatest(F.ceil(F.count("*") / block), F.ceil(F.sum("size") / BLOCK_GRAMS)).cast("int")
+    large = written(sent.groupBy("leader").agg(parts.alias("blocks")).filter("blocks > 1"), "forest-large")
+    placed = sent.join(small(large, large.count()), "leader", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    placed = placed.withColumn("side", F.pmod(F.xxhash64("at"), F.col("blocks").cast("long")).cast("int"))
     placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    placed = placed.select("node", "component", "side", F.least("side", "other").alias("low"), F.greatest("side", "other").alias("high"))
+    placed = placed.select("node", "at", "copies", "digest", "leader", F.least("side", "other").alias("low"), F.greatest("side", "other").alias("high"), "side", "tries")
     texts = docs.select(name(doc_id).alias("node"), name(text).cast("binary").alias("raw")).filter(F.col("raw").isNotNull())
-    moved = texts.join(small(placed, placed.count()), "node").repartition("component", "low", "high").sortWithinPartitions("component", "low", "high")
-    moved = moved.select("component", "low", "high", "side", "node", "raw")
+    tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    moved = texts.join(small(placed, placed.count()), "node").select("leader", "low", "high", "side", "tries", "at", "copies", "digest", "node", "raw")
+    moved = moved.repartition(tasks, "leader", "low", "high").sortWithinPartitions("leader", "low", "high")
     kind = dict(moved.dtypes)["node"]
+    names = ["doc_a", "doc_b", "jaccard"] if every else ["at", "node", "root", "links", "jaccard"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cell, rows = None, []
+        cell, rows = None, {}
 
         def flush() -> Iterator[pa.RecordBatch]:
-            ids = [r[0] for r in rows]
-            sets = [grams(r[2], n) for r in rows]
-            use = [i for i, g in enumerate(sets) if len(g)]
-            if len(use) < 2:
+            sides, tries, at, copies, ids, sets = zip(*rows.values())
+            got = list(similar(list(sets), threshold, trees, recall, np.array(tries), np.array(sides) if cell[1] != cell[2] else None))
+            if not got:
                 return
-            got = similar([sets[i] for i in use], np.array([rows[i][1] for i in use]), cell[1] != cell[2], threshold, trees, recall)
-            ends = [(ids[i], _digest(sets[i])) for i in use]
-            got = [(*sorted((ends[i], ends[j])), x) for i, j, x in got if ends[i][1] != ends[j][1]]
-            if got:
-                a, b, x = zip(*got)
-                (a, sa), (b, sb) = zip(*a), zip(*b)
-                yield pa.RecordBatch.from_arrays([pa.array(a, id_type), pa.array(b, id_type), pa.array(sa, pa.binary()), pa.array(sb, pa.binary()), pa.array(x, pa.float64())], names=["doc_a", "doc_b", "set_a", "set_b", "jaccard"])
+            if every:
+                a, b, x = zip(*[(*sorted((ids[i], ids[j])), x) for i, j, x in got])
+                cols = [pa.array(a, id_type), pa.array(b, id_type), pa.array(x, pa.float64())]
+            else:
+                use, root, links, best = _summary(got, ids, np.array(copies))
+                cols = [pa.array([at[i] for i in use], pa.int64()), pa.array([ids[i] for i in use], id_type), pa.array([ids[root[i]] for i in use], id_type), pa.array(links[use]), pa.array(best[use])]
+            yield pa.RecordBatch.from_arrays(cols, names=names)
 
         for batch in batches:
-            id_type = batch.schema.field(4).type
-            cols = [batch.column(i).to_pylist() for i in range(5)]
-            for k, (c, lo, hi, side, node) in enumerate(zip(*cols)):
-                if (c, lo, hi) != cell:
+            id_type = batch.schema.field(8).type
+            cols = [batch.column(i).to_pylist() for i in range(9)]
+            for k, (leader, low, high, side, tries, at, copies, digest, node) in enumerate(zip(*cols)):
+                if (leader, low, high) != cell:
                     if len(rows) > 1:
                         yield from flush()
-                    cell, rows = (c, lo, hi), []
-                rows.append((node, side, batch.column(5)[k].as_py()))
+                    cell, rows = (leader, low, high), {}
+                # of rows that share a doc_id, those with another set were sent for another node
+                if digest not in rows and _digest(g := grams(batch.column(9)[k].as_py(), n)) == digest:
+                    rows[digest] = (side, tries, at, copies, node, g)
         if len(rows) > 1:
             yield from flush()
 
-    return sketches, nodes, moved.mapInArrow(run, f"doc_a {kind}, doc_b {kind}, set_a binary, set_b binary, jaccard double")
+    return nodes, members, moved.mapInArrow(run, f"doc_a {kind}, doc_b {kind}, jaccard double" if every else f"at long, node {kind}, root {kind}, links long, jaccard double")
+
+
+def _summary(pairs: list[tuple[int, int, float]], ids: tuple, copies: np.ndarray) -> tuple[np.ndarray, list[int], np.ndarray, np.ndarray]:
+    """Of a cell's pairs: the rows in them, and by row the one of the least id it is connected with, the documents it is linked with and the highest similarity."""
+    m = len(ids)
+    root = list(range(m))
+
+    def top(i: int) -> int:
+        while root[i] != i:
+            root[i] = root[root[i]]
+            i = root[i]
+        return i
+
+    for i, j, _ in pairs:
+        a, b = top(i), top(j)
+        if a != b:
+            root[a if ids[b] < ids[a] else b] = b if ids[b] < ids[a] else a
+    a, b, x = (np.array(c) for c in zip(*pairs))
+    links = (np.bincount(a, copies[b], m) + np.bincount(b, copies[a], m)).astype(np.int64)
+    best = np.zeros(m)
+    np.maximum.at(best, a, x)
+    np.maximum.at(best, b, x)
+    return np.union1d(a, b), [top(i) for i in range(m)], links, best
 
 
 def similar_pairs(docs: DataFrame, threshold: float = THRESHOLD, n: int = N, trees: int = TREES, recall: float = RECALL, doc_id: str = "doc_id", text: str = "text", block: int = BLOCK) -> DataFrame:
     """(doc_a, doc_b, jaccard) of documents whose n-gram sets have at least this similarity.
 
-    Documents with equal sets are each paired with the least doc_id among them, which alone
-    is paired with documents of other sets: ``all_pairs`` writes out the rest. doc_a is the
-    lesser id, except that a representative is always doc_a of its copies. Rows without a
-    doc_id, a text or a word join nothing. Rows that share a doc_id are one document: their
-    matches are united, and it is never paired with itself.
+    Of documents with equal sets the one of the least doc_id stands for them; every other
+    one is paired with it, with a jaccard of 1. All pairs of similar documents of different
+    sets are given as those of the documents that stand for them, with a jaccard below 1, so
+    this is as many rows as there are such pairs: ``similar_classes`` gives a row for each
+    document instead. ``all_pairs`` writes out the pairs of copies. doc_a is the lesser id.
+    Rows without a doc_id, a text or a word join nothing. Rows that share a doc_id are one
+    document: their matches are united, and it is never paired with itself. Repeated rows
+    change nothing. ``block`` only bounds what a task holds; no pair depends on it.
     """
-    sketches, nodes, near = _forest(docs, threshold, n, trees, recall, doc_id, text, block)
-    several = nodes.filter("n > 1").select("digest", "node")
-    copies = sketches.select("id", "digest").join(small(several, several.count()), "digest").filter("id <> node")
-    copies = copies.select(F.col("node").alias("doc_a"), F.col("id").alias("doc_b"), F.lit(1.0).alias("jaccard")).distinct()
-    near = near.filter("doc_a <> doc_b").groupBy("doc_a", "doc_b").agg(F.max("jaccard").alias("jaccard"))
-    return copies.unionByName(near)
+    _, members, near = _forest(docs, threshold, n, trees, recall, doc_id, text, block, True)
+    copies = members.filter("id <> node").select(F.col("node").alias("doc_a"), F.col("id").alias("doc_b"), F.lit(1.0).alias("jaccard"))
+    return copies.unionByName(near.filter("doc_a <> doc_b")).groupBy("doc_a", "doc_b").agg(F.max("jaccard").alias("jaccard"))
+
 
+def links(docs: DataFrame, threshold: float = THRESHOLD, n: int = N, trees: int = TREES, recall: float = RECALL, doc_id: str = "doc_id", text: str = "text", block: int = BLOCK) -> DataFrame:
+    """(doc_a, doc_b): links between similar documents, not all of them, but as many as connect what ``similar_pairs`` connects."""
+    _, members, near = _forest(docs, threshold, n, trees, recall, doc_id, text, block, False)
+    return _edges(members, near)
 
-def every_pair(docs: DataFrame, threshold: float = THRESHOLD, n: int = N, trees: int = TREES, recall: float = RECALL, doc_id: str = "doc_id", text: str = "text", block: int = BLOCK) -> DataFrame:
-    """(doc_a < doc_b, jaccard) of all documents of at least this similarity, each pair once.
 
-    As ``similar_pairs``, but every copy is paired with the other copies and with what is
-    similar to them. A set of more than ``block`` copies is paired in blocks.
+def _edges(members: DataFrame, near: DataFrame) -> DataFrame:
+    copies = members.filter("id <> node").select(F.col("node").alias("doc_a"), F.col("id").alias("doc_b"))
+    return copies.unionByName(near.filter("node <> root").select(F.col("root").alias("doc_a"), F.col("node").alias("doc_b"))).distinct()
+
+
+def similar_classes(docs: DataFrame, threshold: float = THRESHOLD, n: int = N, trees: int = TREES, recall: float = RECALL, doc_id: str = "doc_id", text: str = "text", block: int = BLOCK) -> DataFrame:
+    """A row for each document that is similar to one of a lesser doc_id, directly or through others.
+
+    doc_a names its class by the least doc_id in it, and is no doc_b itself; doc_b is the
+    document; n_links is how many other documents it is similar to, copies and all, jaccard
+    its highest similarity to one of them (1 if it has copies), and class_links the number
+    of all links within the class; that of doc_a is therefore twice class_links less the
+    n_links of its rows. No two classes have a link between them. A document whose rows have
+    several sets counts the links of each of them. For the rest see ``similar_pairs``.
     """
-    sketches, nodes, near = _forest(docs, threshold, n, trees, recall, doc_id, text, block)
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    several = nodes.filter("n > 1").select("digest", F.ceil(F.col("n") / block).cast("int").alias("blocks"))
-    held = written(sketches.select("id", "digest").join(small(several, several.count()), "digest").distinct(), "forest-copies")
-    cells = held.withColumn("side", F.pmod(F.xxhash64("id"), F.col("blocks").cast("long")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    cells = cells.select("digest", F.least("side", "other").alias("low"), F.greatest("side", "other").alias("high"), "id", "side").repartition(parts, "digest", "low", "high")
-    same = cells.join(cells.select("digest", "low", "high", F.col("id").alias("y"), F.col("side").alias("side_y")), ["digest", "low", "high"])
-    same = same.filter("id < y AND (low = high OR side <> side_y)").select(F.col("id").alias("doc_a"), F.col("y").alias("doc_b"), F.lit(1.0).alias("jaccard"))
-    near = near.repartition(parts, "set_a", "set_b").groupBy("set_a", "set_b").agg(F.min("doc_a").alias("doc_a"), F.min("doc_b").alias("doc_b"), F.max("jaccard").alias("jaccard"))
-    of = small(held, held.count())
-    far = near.join(of.select(F.col("digest").alias("set_a"), F.col("id").alias("x")), "set_a", "left").join(of.select(F.col("digest").alias("set_b"), F.col("id").alias("y")), "set_b", "left")
-    far = far.withColumns({"x": F.coalesce("x", "doc_a"), "y": F.coalesce("y", "doc_b")}).filter("x <> y")
-    out = same.unionByName(far.select(F.least("x", "y").alias("doc_a"), F.greatest("x", "y").alias("doc_b"), "jaccard"))
-    # only documents with several texts can be paired twice
-    code = F.xxhash64("digest")
-    if sketches.groupBy("id").agg(F.min(code).alias("least"), F.max(code).alias("most")).filter("least < most").limit(1).count():
-        out = out.groupBy("doc_a", "doc_b").agg(F.max("jaccard").alias("jaccard"))
-    return out
+    nodes, members, near = _forest(docs, threshold, n, trees, recall, doc_id, text, block, False)
+    near = written(near, "forest-links")
+    of_set = near.groupBy("at").agg(F.sum("links").alias("far"), F.max("jaccard").alias("jaccard"))
+    of_set = of_set.join(nodes.select("at", "digest", "node", F.col("n").alias("rows")), "at")
+    sizes = members.groupBy("digest").agg((F.count("*") - 1).alias("near"))
+    single = of_set.filter("rows = 1").select(F.col("node").alias("doc"), F.col("far").alias("links"), "jaccard")
+    shared = members.select("id", "digest").join(sizes, "digest").join(of_set.select("digest", "far", "jaccard"), "digest", "left")
+    best = F.when(F.col("near") > 0, 1.0).otherwise(F.col("jaccard"))
+    shared = shared.select(F.col("id").alias("doc"), (F.col("near") + F.coalesce("far", F.lit(0))).alias("links"), best.alias("jaccard"))
+    per = single.unionByName(shared.filter("links > 0")).groupBy("doc").agg(F.sum("links").alias("n_links"), F.max("jaccard").alias("jaccard"))
+    groups = components(_edges(members, near), "doc_a", "doc_b")
+    rows = written(per.join(groups, F.col("doc") == F.col("node")).select("component", "doc", "jaccard", "n_links"), "forest-classes")
+    totals = rows.groupBy("component").agg((F.sum("n_links") / 2).cast("long").alias("class_links"))
+    return rows.join(totals, "component").filter("component <> doc").select(F.col("component").alias("doc_a"), F.col("doc").alias("doc_b"), "jaccard", "n_links", "class_links")
 
 
 def all_pairs(pairs: DataFrame) -> DataFrame:
@@ -318,4 +431,4 @@ def keep_one(docs: DataFrame, pairs: DataFrame, doc_id: str = "doc_id") -> DataF
 
 
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return every_pair(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return similar_classes(spark.read.parquet(f"{sf_dir}/documents.parquet"))
