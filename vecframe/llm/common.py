@@ -6,6 +6,8 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,6 +16,8 @@ from pyspark.sql import functions as F
 BROADCAST_ROWS = 200_000
 
 _local_dirs: dict[str, str] = {}
+#: Tables that ``written`` made and that are still there.
+_tables: dict[str, DataFrame] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -40,6 +44,7 @@ def written(df: DataFrame, name: str) -> DataFrame:
     df.write.option("compression", "zstd").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._vecframe_path = path
+    _tables[path] = out
     return out
 
 
@@ -48,11 +53,33 @@ def forget(*tables: DataFrame | None) -> None:
     for t in tables:
         path = getattr(t, "_vecframe_path", None)
         if path:
+            _tables.pop(path, None)
             jvm = t.sparkSession.sparkContext._jvm
             at = jvm.org.apache.hadoop.fs.Path(path)
             at.getFileSystem(t.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
+@contextmanager
+def scratch(keep: Callable[[], DataFrame | None] = lambda: None) -> Iterator[None]:
+    """Deletes the tables that are written within, but ``keep()``: for results that are written or collected within."""
+    before = set(_tables)
+    try:
+        yield
+    finally:
+        kept = getattr(keep(), "_vecframe_path", None)
+        forget(*[t for p, t in _tables.items() if p not in before and p != kept])
+
+
+@atexit.register
+def forget_all() -> None:
+    """Delete all tables that are still there; at the end of the driver, since results are lazy and read them."""
+    for t in list(_tables.values()):
+        try:
+            forget(t)
+        except Exception:  # the session has ended before, and its folder with it
+            return
+
+
 def fresh(taken: list[str] | DataFrame, *names: str) -> list[str]:
     """Names like these that no column has yet, whatever the case."""
     used = {c.lower() for c in (taken.columns if isinstance(taken, DataFrame) else taken)}
