@@ -1,13 +1,13 @@
 """Text of HTML pages without their site's template.
 
-Every element subtree of a page is hashed, the pages of each host that have it are counted
-in Spark, and subtrees that recur across many pages of the host are deleted before the text
-is taken. The tree is built in one scan for tags, which closes what pages leave open.
+Every element subtree of a page is hashed, the different pages of each host that have it are
+counted in Spark, and subtrees that recur across many of them are deleted before the text
+is taken. The tree is built in one scan for tags, which closes what pages leave open. The
+scan and the hashing of all subtrees, however deep, take time in proportion to the page.
 """
 
 from __future__ import annotations
 
-import hashlib
 import html as entities
 import re
 from collections.abc import Iterator
@@ -19,22 +19,23 @@ from pyspark.sql import functions as F
 
 from .common import forget, fresh, map_arrow, name, small, written
 
-#: A subtree is template if at least so many pages of the host have it, and such a share of
-#: the host's pages, however many those are: MOST caps nothing.
+#: A subtree is template if at least so many different pages of the host have it, and such a
+#: share of the host's different pages, however many those are.
 MIN_PAGES = 5
 MIN_SHARE = 0.05
-MOST = float("inf")
 
-_TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^<>"']|"[^"]*"|'[^']*')*)/?>""", re.S)
+_TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^<>"']|"[^"]*"|'[^']*')*)/?>""", re.S)
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _RAW = frozenset("script style textarea title noscript template iframe xmp".split())
 _HIDDEN = frozenset("script style noscript template iframe head svg".split())
 _BLOCK = frozenset("address article aside blockquote body br dd div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr li main nav ol p pre section table tbody td tfoot th thead tr ul".split())
 #: An open element of the first kind ends where one of the second begins.
 _ENDS = {"p": _BLOCK - {"br", "body"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "tbody", "tfoot"}, "td": {"td", "th", "tr"}, "th": {"td", "th", "tr"}, "option": {"option"}, "head": {"body"}}
-_ROOTS = ("html", "body", "head", "#document")
+_ROOTS = ("html", "body", "head")
+_BASES = (np.uint64(0x9E3779B97F4A7C15), np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64)))
+_MIX = (np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0xFF51AFD7ED558CCD))
 #: Not template: elements without content, the page itself and what is hidden anyway.
-_NEVER = _VOID | _HIDDEN | {"html", "body", "#document"}
+_NEVER = _VOID | _HIDDEN | {"html", "body"}
 _SPACE = re.compile(r"[ \t\r\f\v ]+")
 _LINES = re.compile(r" ?\n[ \n]*")
 
@@ -43,7 +44,18 @@ def subtrees(page: str) -> list[tuple[int, int, str]]:
     """(start, end, tag) of every element of a page, in order of their starts."""
     out: list[list] = []
     stack: list[int] = []
+    #: how many elements of a name are open; of each open element, where on the stack the
+    #: nearest paragraph or block is, itself included
+    opened: dict[str, int] = {}
+    nearest: list[int] = []
     at = 0
+
+    def close(k: int, end: int) -> None:
+        for i in stack[k:]:
+            out[i][1] = end
+            opened[out[i][2]] -= 1
+        del stack[k:], nearest[k:]
+
     while m := _TAG.search(page, at):
         start, at = m.span()
         tag = m[2]
@@ -51,27 +63,19 @@ def subtrees(page: str) -> list[tuple[int, int, str]]:
             continue
         tag = tag.lower()
         if m[1]:
-            for k in range(len(stack) - 1, -1, -1):
-                if out[stack[k]][2] == tag:
-                    for i in stack[k + 1 :]:
-                        out[i][1] = start
-                    out[stack[k]][1] = at
-                    del stack[k:]
-                    break
+            if opened.get(tag):
+                k = len(stack) - 1
+                while out[stack[k]][2] != tag:
+                    k -= 1
+                found = stack[k]
+                close(k, start)
+                out[found][1] = at
             continue
         while stack and tag in _ENDS.get(out[stack[-1]][2], ()):
-            out[stack.pop()][1] = start
-        if tag == "p" or tag in _BLOCK:
+            close(len(stack) - 1, start)
+        if tag in _ENDS["p"] and stack and nearest[-1] >= 0 and out[stack[nearest[-1]]][2] == "p":
             # a paragraph left open ends here even if inline elements in it are open too
-            for k in range(len(stack) - 1, -1, -1):
-                t = out[stack[k]][2]
-                if t == "p" and tag in _ENDS["p"]:
-                    for i in stack[k:]:
-                        out[i][1] = start
-                    del stack[k:]
-                    break
-                if t in _BLOCK or t in _ROOTS:
-                    break
+            close(nearest[-1], start)
         out.append([start, at, tag])
         if tag in _VOID or page[at - 2 : at] == "/>":
             continue
@@ -79,19 +83,45 @@ def subtrees(page: str) -> list[tuple[int, int, str]]:
             end = re.compile(rf"</{tag}\s*>", re.I).search(page, at)
             at = out[-1][1] = end.end() if end else len(page)
             continue
+        nearest.append(len(stack) if tag in _BLOCK or tag in _ROOTS else nearest[-1] if nearest else -1)
         stack.append(len(out) - 1)
+        opened[tag] = opened.get(tag, 0) + 1
     for i in stack:
         out[i][1] = len(page)
     return [tuple(x) for x in out]
 
 
-def _hash(part: str) -> int:
-    return int.from_bytes(hashlib.blake2b(part.encode("utf-8", "surrogateescape"), digest_size=8).digest(), "little", signed=True)
+def _powers(base: np.uint64, n: int) -> np.ndarray:
+    p = np.full(n, base, np.uint64)
+    p[0] = 1
+    return np.multiply.accumulate(p)
+
+
+_POWERS = [_powers(x, 1 << 16) for x in _BASES]
+
+
+def hashes_of(page: str, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit hashes of parts of a page: polynomials in its characters, from running sums, and then mixed."""
+    c = np.frombuffer(page.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    c = (c + np.uint64(1)) * _MIX[1]
+    c ^= c >> np.uint64(31)
+    up, down = (p[: len(c) + 1] for p in (_POWERS if len(c) < len(_POWERS[0]) else [_powers(x, len(c) + 1) for x in _BASES]))
+    sums = np.zeros(len(c) + 1, np.uint64)
+    np.cumsum(c * up[:-1], out=sums[1:])
+    h = (sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64) * _MIX[0]
+    for m in _MIX:
+        h ^= h >> np.uint64(32)
+        h *= m
+    return (h ^ h >> np.uint64(29)).view(np.int64)
 
 
 def hashed(page: str) -> list[tuple[int, int, str, int]]:
     """The subtrees that may be template, with hashes of their source."""
-    return [(a, b, t, _hash(page[a:b])) for a, b, t in subtrees(page) if t not in _NEVER]
+    parts = [x for x in subtrees(page) if x[2] not in _NEVER]
+    if not parts:
+        return []
+    h = hashes_of(page, np.array([x[0] for x in parts]), np.array([x[1] for x in parts])).tolist()
+    return [(*x, k) for x, k in zip(parts, h)]
 
 
 def extract(page: str, template: set[int] | frozenset[int]) -> tuple[str, int]:
@@ -101,13 +131,14 @@ def extract(page: str, template: set[int] | frozenset[int]) -> tuple[str, int]:
     entities are decoded and runs of spaces become one.
     """
     parts, gone, hide, at = [], 0, 0, 0
-    for a, b, tag in subtrees(page):
+    trees = subtrees(page)
+    known = hashes_of(page, np.array([x[0] for x in trees]), np.array([x[1] for x in trees])).tolist() if template and trees else [0] * len(trees)
+    for (a, b, tag), h in zip(trees, known):
         if a < hide:
             continue
-        parts.append(page[at:a])
-        at = a
-        bad = bool(template) and tag not in _NEVER and _hash(page[a:b]) in template
+        bad = bool(template) and tag not in _NEVER and h in template
         if bad or tag in _HIDDEN:
+            parts.append(page[at:a])
             gone += bad
             parts.append("<p>")
             at = hide = b
@@ -129,26 +160,27 @@ def host_of(url: Column) -> Column:
 
 
 def templates(pages: DataFrame, url: str = "url", html: str = "html", min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE) -> DataFrame:
-    """(host, subtree) hashes that recur on many pages of a host; a repeated row counts as a page."""
+    """(host, subtree) hashes that recur on many different pages of a host: copies of a page on a host count as one."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             sets = [np.array(list({h for *_, h in hashed(x.as_py().decode("utf-8", "surrogateescape"))}), np.int64) for x in b.column(1)]
             at = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
-            hosts = b.column(0).take(pa.array(at, pa.int64()))
-            yield pa.RecordBatch.from_arrays([hosts, pa.array(np.concatenate(sets) if sets else np.zeros(0, np.int64))], names=["host", "subtree"])
+            at = pa.array(at, pa.int64())
+            yield pa.RecordBatch.from_arrays([b.column(0).take(at), b.column(2).take(at), pa.array(np.concatenate(sets) if sets else np.zeros(0, np.int64))], names=["host", "page", "subtree"])
 
-    rows = pages.filter(name(html).isNotNull()).select(host_of(name(url)).alias("host"), name(html).cast("binary").alias("raw"))
-    size = rows.groupBy("host").agg(F.count("*").alias("n"))
+    rows = pages.filter(name(html).isNotNull()).select(host_of(name(url)).alias("host"), name(html).cast("binary").alias("raw"), F.xxhash64(name(html)).alias("page"))
+    size = rows.select("host", "page").distinct().groupBy("host").agg(F.count("*").alias("n"))
     least = F.greatest(F.lit(min_pages), F.ceil(F.col("n") * min_share))
-    counts = rows.mapInArrow(run, "host string, subtree long").groupBy("host", "subtree").agg(F.count("*").alias("c")).filter(F.col("c") >= min_pages)
+    counts = rows.mapInArrow(run, "host string, page long, subtree long").distinct().groupBy("host", "subtree").agg(F.count("*").alias("c")).filter(F.col("c") >= min_pages)
     return counts.join(size, "host").filter(F.col("c") >= least).select("host", "subtree")
 
 
 def extract_text(pages: DataFrame, url: str = "url", html: str = "html", out: str = "text", count: str = "n_removed", min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE) -> DataFrame:
     """``pages`` with the text outside template subtrees in place of the html.
 
-    Pages without a host are a site of their own, "". A null html gives a null text with 0
+    Pages without a host are a site of their own, "". Copies of a page count as one page of
+    their host, so what only they share is no template. A null html gives a null text with 0
     subtrees removed, an empty one an empty text. Every row stays, repeated ones too. A new
     column whose name is taken gets a leading underscore.
     """
