@@ -1,4 +1,6 @@
 import random
+from datetime import date, datetime
+from decimal import Decimal
 
 import pytest
 from llm_cases import bag, docs_of
@@ -42,3 +44,24 @@ def test_names_that_are_taken_ties_and_no_rows(spark):
     assert sorted((r.doc_id, r._n_copies) for r in got.collect()) == [(1, 2), (2, 1)]
     assert bag(exact_dedup(docs)) == bag(exact_dedup(docs.repartition(3)))
     assert exact_dedup(docs.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("kind, ids", [
+    ("timestamp", [datetime(2020, 1, d) for d in (9, 2, 5)]),
+    ("date", [date(2020, 1, d) for d in (9, 2, 5)]),
+    ("binary", [bytearray(x) for x in (b"\xff", b"\x01\x02", b"\x02")]),
+    ("boolean", [True, False, True]),
+    ("decimal(5,2)", [Decimal("1.50"), Decimal("-2.25"), Decimal("0.10")]),
+    ("double", [float("nan"), -1.0, 3.0]),
+    ("struct<a:int,b:string>", [(1, "z"), (None, "b"), (0, "c")]),
+    ("array<int>", [[2, 1], [None, 7], [1, 9]]),
+])
+def test_least_id_of_any_type(spark, kind, ids):
+    docs = spark.createDataFrame([(i, "same") for i in ids] + [(None, "same")], f"doc_id {kind}, text string")
+    [row] = exact_dedup(docs.repartition(3), count="n").collect()
+    assert row.n == 4 and row.doc_id == docs.filter("doc_id IS NOT NULL").orderBy("doc_id").first().doc_id
+
+
+def test_ids_without_an_order(spark):
+    docs = spark.createDataFrame([({"a": i}, "same") for i in range(3)], "doc_id map<string,int>, text string")
+    assert exact_dedup(docs).count() == 1

@@ -19,7 +19,6 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from .common import forget, fresh, map_arrow, name, small, written
 
@@ -45,6 +44,15 @@ def radix_groups(texts: list[bytes], start: int = 0, width: int = WIDTH) -> Iter
         stack += [(x, at + w, w * 4) for x in parts.values()]
 
 
+def _sortable(x):
+    """A value that Python orders as Spark orders the column's: nulls last at the top, first within; NaN above all numbers."""
+    if isinstance(x, dict):
+        return tuple((v is not None, v if v is None else _sortable(v)) for v in x.values())
+    if isinstance(x, list):
+        return tuple((v is not None, v if v is None else _sortable(v)) for v in x)
+    return (x != x, 0.0 if x != x else x) if isinstance(x, float) else x
+
+
 def _reduce(table: pa.Table, text: int, order: list[int], count: int) -> pa.Table:
     """One row per distinct text of rows that all have one length: the least by order, counts added."""
     texts = [x.as_py() for x in table.column(text)]
@@ -52,7 +60,7 @@ def _reduce(table: pa.Table, text: int, order: list[int], count: int) -> pa.Tabl
     n = table.column(count).to_pylist()
     keep, sums = [], []
     for rows in radix_groups(texts):
-        keep.append(min(rows, key=lambda r: (*[(x is None, x if x is not None else 0) for x in keys[r]], r)))
+        keep.append(min(rows, key=lambda r: (*[(x is None, 0 if x is None else _sortable(x)) for x in keys[r]], r)))
         sums.append(sum(n[r] for r in rows))
     return table.take(pa.array(keep, pa.int64())).set_column(count, table.field(count), pa.array(sums, pa.int64()))
 
@@ -123,8 +131,9 @@ def _merge_here(length: int, text: int, order: list[int], count: int, held: int)
 def exact_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", count: str | None = None, split_bytes: int = SPLIT_BYTES, split_rows: int = SPLIT_ROWS, held_bytes: int = HELD_BYTES) -> DataFrame:
     """One row of each distinct text, with all columns; ``count`` adds the number of its copies.
 
-    The row with the least doc_id stays, nulls last; among rows with the same doc_id, the
-    one with the least hash of the other columns. Texts are equal if all their bytes are.
+    The row with the least doc_id stays, in Spark's order of its type, whatever that is, and
+    nulls last; among rows with the same doc_id, the one with the least hash of the other
+    columns. Of ids that have no order (maps), that hash alone decides. Texts are equal if all their bytes are.
     Rows without a text are no copies of anything and all stay, with a count of 1. Empty
     texts are copies of one another. If ``count`` is taken, it gets a leading underscore.
     """
@@ -132,7 +141,7 @@ def exact_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", cou
     added, n_bytes, digits, raw, tie, made = fresh(docs, count or "n_copies", "n_bytes", "digits", "raw", "tie", "over")
     rest = [c for c in cols if c not in (text, doc_id)]
     rows = docs.filter(name(text).isNotNull()).withColumns({raw: name(text).cast("binary"), n_bytes: F.octet_length(name(text)), added: F.lit(1).cast("long")})
-    sortable = isinstance(docs.schema[doc_id].dataType, (T.NumericType, T.StringType))
+    sortable = "map<" not in docs.schema[doc_id].dataType.simpleString()
     rows = rows.withColumn(tie, F.xxhash64(*[name(c).cast("string") for c in rest]) if rest else F.lit(0).cast("long"))
     rows = rows.withColumn(digits, F.substring(F.col(raw), 1, WIDTH))
     slim = [c for c in cols if c != text]
