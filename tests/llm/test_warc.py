@@ -58,3 +58,67 @@ def test_files_round_trip(spark, tmp_path):
     assert [x[2] for x in warc.split_records((tmp_path / "members.warc.gz").read_bytes())] == bodies
     assert [x[2] for x in warc.split_records(raw[:-60])] == bodies[:-1]
     assert list(warc.split_records(b"")) == []
+
+
+HEAD = b"WARC/1.0\r\nWARC-Type: resource\r\nContent-Length: %d\r\n\r\n"
+
+
+def record(body):
+    return HEAD % len(body) + body + b"\r\n\r\n"
+
+
+BODIES = [b"first", b"second " * 30_000, b"", b"WARC/1.0 third", b"fourth"]
+
+
+def found(content):
+    return [x[2] for x in warc.read_records(content) if x[3] is None], [x[3] for x in warc.read_records(content) if x[3] is not None]
+
+
+@pytest.mark.parametrize("piece", [1 << 20, 1000, 17])
+def test_damage_costs_no_more_than_it_covers(monkeypatch, piece):
+    monkeypatch.setattr(warc, "PIECE", piece)
+    members = [gzip.compress(record(b)) for b in BODIES]
+    assert found(b"".join(members)) == (BODIES, [])
+    assert found(gzip.compress(b"".join(map(record, BODIES)))) == (BODIES, [])
+    bad = bytearray(members[1])
+    bad[-6] ^= 255  # the checksum
+    got, errors = found(b"".join([members[0], bytes(bad), *members[2:]]))
+    assert [b for b in got if b != BODIES[1]] == [BODIES[0], *BODIES[2:]] and errors
+    bad = bytearray(members[1])
+    bad[30] ^= 255
+    got, errors = found(b"".join([members[0], bytes(bad), *members[2:]]))
+    assert got[0] == BODIES[0] and got[-3:] == BODIES[2:] and errors
+    assert found(b"".join(members) + b"junk behind the last member") == (BODIES, ["bytes between gzip members"])
+    assert found(b"".join(members) + b"\0" * 50) == (BODIES, [])
+    got, errors = found(b"".join(members)[:-10])
+    assert got in (BODIES, BODIES[:-1]) and errors
+
+
+def test_bytes_that_are_no_record():
+    plain = list(map(record, BODIES))
+    assert found(b"\r\n".join(plain)) == (BODIES, [])
+    assert found(plain[0] + b"junk\r\n" + plain[1] + plain[2]) == (BODIES[:3], ["no record"])
+    assert found(plain[0] + b"WARC/1.0\r\nno length\r\n\r\n" + plain[1]) == (BODIES[:2], ["no record"])
+    assert found(plain[0] + plain[1][:-500]) == (BODIES[:1], ["the record is cut"])
+    assert found(b"") == ([], []) and found(b"junk") == ([], ["no record"])
+    [a, b] = list(warc.read_records(plain[0] + plain[1]))
+    assert (plain[0] + plain[1])[b[0] :].startswith(b[1] + b[2])
+
+
+def test_reading_damaged_files_and_null_headers(spark, tmp_path):
+    (tmp_path / "a.warc.gz").write_bytes(gzip.compress(record(b"one")) + b"\x1f\x8b\x08broken" + gzip.compress(record(b"two")))
+    (tmp_path / "b.warc").write_bytes(b"")
+    rows = warc.read_warc(spark, f"file://{tmp_path}/*").collect()
+    assert sorted(bytes(r.payload) for r in rows if r.error is None) == [b"one", b"two"] and sum(r.error is not None for r in rows) == 1
+    warc.write_warc(spark.createDataFrame([(None, None), (None, bytearray(b"x"))], "header binary, payload binary").coalesce(1), f"file://{tmp_path}/w")
+    assert all(r.error for r in warc.read_warc(spark, f"file://{tmp_path}/w/*.gz").collect())
+
+
+def test_append_stores_known_payloads_once(spark):
+    first = warc.archive(warc.records_of_pages(pages(spark, PAGES[:4])))
+    second = warc.archive(warc.records_of_pages(pages(spark, PAGES[3:])))
+    headers, payloads = warc.append(*first, *second)
+    stored = [(r.payload, r.n_records) for r in payloads.collect()]
+    assert sorted(stored) == sorted([("x", 4), ("", 2), (LONG, 2)])
+    whole = warc.records_of_pages(pages(spark, PAGES[:4] + PAGES[3:]))
+    assert Counter(map(tuple, warc.rebuild(headers, payloads).select(whole.columns).collect())) == Counter(map(tuple, whole.collect()))

@@ -10,10 +10,7 @@ names another SHA-256 than its payload has is marked.
 
 from __future__ import annotations
 
-import base64
-import gzip
 import hashlib
-import io
 import re
 import zlib
 from collections.abc import Iterator
@@ -26,6 +23,9 @@ from .common import fresh, name
 
 CRLF = "\r\n"
 END = CRLF * 2
+MAGIC = b"\x1f\x8b\x08"
+#: So many bytes are unzipped, or looked through, at a time.
+PIECE = 1 << 20
 #: Payloads that more records than this share are spread over several tasks when rebuilding.
 HOT = 10_000
 
@@ -101,59 +101,121 @@ def rebuild(headers: DataFrame, payloads: DataFrame, header: str = "header", pay
 
 
 def read_warc(spark: SparkSession, path: str) -> DataFrame:
-    """Records of .warc and .warc.gz files: file, offset, header and payload (binary).
+    """Records of .warc and .warc.gz files: file, offset, header and payload (binary), error.
 
     ``header`` is all before the payload: the WARC header and, for HTTP records, the HTTP
-    header; with the payload and the final CRLF CRLF it is the exact record. A file is
-    read by one task, record by record. An empty file has no records; a cut last record is
-    left out.
+    header; with the payload and the final CRLF CRLF it is the exact record. ``offset`` counts
+    unzipped bytes. A file is read by one task, gzip member by member and record by record.
+    Damage costs no more than it covers: a row with an ``error`` and neither header nor
+    payload stands for a gzip member that can't be unzipped to its end, for bytes that are
+    no record and for a last record that is cut; reading goes on behind them. An empty file
+    has no records.
     """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "content")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for p, content in zip(batch.column(0).to_pylist(), batch.column(1)):
-                for at, head, body in split_records(content.as_py()):
-                    yield pa.RecordBatch.from_arrays([pa.array([p]), pa.array([at], pa.int64()), pa.array([head], pa.binary()), pa.array([body], pa.binary())], names=["file", "offset", "header", "payload"])
+                for at, head, body, error in read_records(content.as_py()):
+                    yield pa.RecordBatch.from_arrays([pa.array([p]), pa.array([at], pa.int64()), pa.array([head], pa.binary()), pa.array([body], pa.binary()), pa.array([error], pa.string())], names=["file", "offset", "header", "payload", "error"])
 
-    return files.mapInArrow(run, "file string, offset long, header binary, payload binary")
+    return files.mapInArrow(run, "file string, offset long, header binary, payload binary, error string")
 
 
-def split_records(content: bytes) -> Iterator[tuple[int, bytes, bytes]]:
-    """(offset, bytes before the payload, payload) of each record of a file's bytes."""
-    if content[:2] == b"\x1f\x8b":
+def _unzipped(content: bytes) -> Iterator[tuple[bytes, str | None]]:
+    """Pieces of a file, unzipped if it is gzip; after a damaged member an error, then what follows its end or the next member."""
+    if content[:2] != MAGIC[:2]:
+        yield content, None
+        return
+    at = 0
+    while 0 <= at < len(content):
+        inflate, error = zlib.decompressobj(31), None
         try:
-            content = gzip.GzipFile(fileobj=io.BytesIO(content)).read()
-        except (EOFError, zlib.error):
-            inflate, out = zlib.decompressobj(31), b""
-            while content:
-                out += inflate.decompress(content)
-                content = inflate.unused_data
-                inflate = zlib.decompressobj(31)
-            content = out
+            for i in range(at, len(content), PIECE):
+                piece = inflate.decompress(content[i : i + PIECE])
+                if piece:
+                    yield piece, None
+                if inflate.eof:
+                    break
+        except zlib.error as e:
+            error = f"a damaged gzip member: {e}"
+        if inflate.eof and error is None:
+            at = i + min(PIECE, len(content) - i) - len(inflate.unused_data)
+            if content[at : at + 3] != MAGIC and at < len(content):
+                following = content.find(MAGIC, at)
+                if content[at : following if following >= 0 else None].strip(b"\0"):
+                    yield b"", "bytes between gzip members"
+                at = following
+            continue
+        yield b"", error or "a gzip member ends early"
+        at = content.find(MAGIC, at + 3)
+
+
+def read_records(content: bytes) -> Iterator[tuple[int, bytes | None, bytes | None, str | None]]:
+    """(offset, bytes before the payload, payload, error) of each record of a file's bytes; see ``read_warc``."""
+    held, base = b"", 0
+    for piece, error in _unzipped(content):
+        held += piece
+        if error is None and len(held) < PIECE:
+            continue
+        used = yield from _records_in(held, base, error is not None)
+        held, base = held[used:], base + used
+        if error is not None:
+            yield base, None, None, error
+    yield from _records_in(held, base, True)
+
+
+def _records_in(held: bytes, base: int, last: bool) -> Iterator[tuple[int, bytes | None, bytes | None, str | None]]:
+    """Records at the start of some bytes; returns how many bytes are done with. Unless they are the last, a record that isn't whole is left."""
     at = 0
-    while content.startswith(b"WARC/", at):
-        start = content.find(b"\r\n\r\n", at)
-        length = start >= 0 and re.search(rb"(?im)^content-length:[ \t]*(\d+)", content[at:start])
-        if not length:
-            return
-        body, stop = start + 4, start + 4 + int(length[1])
-        if stop > len(content):
-            return
-        kind = re.search(rb"(?im)^content-type:[ \t]*application/http", content[at:start])
-        http = content.find(b"\r\n\r\n", body, stop) if kind else -1
-        cut = http + 4 if http >= 0 else body
-        yield at, content[at:cut], content[cut:stop]
-        at = stop + 4
+    while at < len(held):
+        if held[at] in b"\r\n":
+            at += 1
+            continue
+        begun = held.startswith(b"WARC/", at)
+        start = held.find(b"\r\n\r\n", at) if begun else -1
+        length = start >= 0 and re.search(rb"(?im)^content-length:[ \t]*(\d+)", held[at:start])
+        stop = start + 4 + int(length[1]) if length else -1
+        if length and stop <= len(held):
+            kind = re.search(rb"(?im)^content-type:[ \t]*application/http", held[at:start])
+            http = held.find(b"\r\n\r\n", start + 4, stop) if kind else -1
+            cut = http + 4 if http >= 0 else start + 4
+            yield base + at, held[at:cut], held[cut:stop], None
+            at = stop
+            continue
+        following = held.find(b"\nWARC/", at + 1)
+        if not last and (length or start < 0 and (begun or following < 0)):
+            break
+        yield base + at, None, None, "the record is cut" if length else "no record"
+        at = following + 1 if following >= 0 else len(held)
+    return at
+
+
+def split_records(content: bytes) -> Iterator[tuple[int, bytes, bytes]]:
+    """(offset, bytes before the payload, payload) of the sound records of a file's bytes."""
+    return (r[:3] for r in read_records(content) if r[3] is None)
+
+
+def append(headers: DataFrame, payloads: DataFrame, new_headers: DataFrame, new_payloads: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """An archive with another one added: payloads whose digest it has already aren't stored again.
+
+    Only the lengths and hashes of new payloads meet the stored ones; n_records is added up.
+    """
+    known = payloads.select("payload_digest", "n_records")
+    added = new_payloads.join(known.select("payload_digest"), "payload_digest", "left_anti")
+    more = new_payloads.select("payload_digest", F.col("n_records").alias("more"))
+    grown = payloads.join(more, "payload_digest", "left").select("payload_digest", "payload", (F.col("n_records") + F.coalesce("more", F.lit(0))).alias("n_records"))
+    return headers.unionByName(new_headers), grown.unionByName(added)
 
 
 def write_warc(records: DataFrame, path: str, header: str = "header", payload: str = "payload") -> None:
     """Write the records of each partition to a gzip file under ``path``.
 
     Spark's own committer places the files, so a lost task leaves no half file. A null
-    payload is written like an empty one.
+    payload is written like an empty one, and so is a null header: such a record can't be
+    read again. A file is one gzip stream.
     """
-    whole = F.concat(name(header).cast("binary"), F.coalesce(name(payload).cast("binary"), F.lit(b"")))
+    whole = F.concat(F.coalesce(name(header).cast("binary"), F.lit(b"")), F.coalesce(name(payload).cast("binary"), F.lit(b"")))
     records.select(whole.cast("string").alias("value")).write.option("lineSep", END).option("compression", "gzip").text(path)
 
 
