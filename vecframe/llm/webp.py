@@ -22,6 +22,11 @@ from pyspark.sql import types as T
 from .common import fresh, map_arrow, name
 
 OPAQUE = 0xFF000000
+#: Images of more pixels than this aren't decoded unless the caller allows it: a file of a few
+#: bytes can claim the format's 2**28.
+MOST_PIXELS = 1 << 24
+#: So many pixels at most go back to Spark in one batch, unless one image has more.
+BATCH_PIXELS = 1 << 20
 _ORDER = (17, 18, 0, 1, 2, 3, 4, 5, 16, 6, 7, 8, 9, 10, 11, 12, 13, 14, 15)
 _HASH = 0x1E35A7BD
 #: Offsets (left, up) of the first 120 distance codes.
@@ -311,12 +316,14 @@ def payload(data: bytes) -> bytes:
     raise BadImage("no image")
 
 
-def decode(data: bytes) -> tuple[int, int, list[int]]:
-    """(width, height, ARGB pixels by row) of a lossless WebP file; BadImage if it is none."""
+def decode(data: bytes, most_pixels: int = MOST_PIXELS) -> tuple[int, int, list[int]]:
+    """(width, height, ARGB pixels by row) of a lossless WebP file; BadImage if it is none, or larger than ``most_pixels``."""
     b = _Bits(payload(data))
     if b.read(8) != 0x2F:
         raise BadImage("bad signature")
     width, height = b.read(14) + 1, b.read(14) + 1
+    if width * height > most_pixels:
+        raise BadImage(f"more than {most_pixels} pixels")
     opaque = not b.read(1)
     if b.read(3):
         raise BadImage("unknown version")
@@ -596,11 +603,11 @@ def encode(width: int, height: int, pixels: list[int], predictor: list[int] | No
     return b"RIFF" + struct.pack("<I", 4 + len(chunk)) + b"WEBP" + chunk
 
 
-def decode_media(df: DataFrame, media: str = "image", width: str = "width", height: str = "height", pixels: str = "pixels", error: str = "media_error") -> DataFrame:
+def decode_media(df: DataFrame, media: str = "image", width: str = "width", height: str = "height", pixels: str = "pixels", error: str = "media_error", most_pixels: int = MOST_PIXELS) -> DataFrame:
     """``df`` with width, height, ARGB pixels by row and what was wrong, in place of the bytes.
 
-    Null bytes give nulls; bytes that are no lossless WebP image, empty ones too, give null
-    pixels and the reason. Every row stays and the same bytes give the same pixels. A new
+    Null bytes give nulls; bytes that are no lossless WebP image, empty ones too, and images
+    of more than ``most_pixels`` give null pixels and the reason. Every row stays and the same bytes give the same pixels. A new
     column whose name is taken gets a leading underscore.
     """
     rest = [c for c in df.columns if c != media]
@@ -610,16 +617,26 @@ def decode_media(df: DataFrame, media: str = "image", width: str = "width", heig
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = []
-            for x in b.column(len(rest)):
+            rows, first, held = [], 0, 0
+
+            def flush(stop: int) -> pa.RecordBatch:
+                cols = list(zip(*rows)) if rows else [(), (), (), ()]
+                made = [pa.array(c, t) for c, t in zip(cols, (pa.int32(), pa.int32(), pa.list_(pa.int64()), pa.string()))]
+                return pa.RecordBatch.from_arrays([*[c.slice(first, stop - first) for c in b.columns[: len(rest)]], *made], names=[*rest, *added])
+
+            for i, x in enumerate(b.column(len(rest))):
                 x = x.as_py()
                 try:
-                    rows.append((None,) * 4 if x is None else (*decode(x), None))
+                    got = (None,) * 4 if x is None else (*decode(x, most_pixels), None)
                 except BadImage as e:
-                    rows.append((None, None, None, str(e)))
-            cols = list(zip(*rows)) if rows else [(), (), (), ()]
-            made = [pa.array(c, t) for c, t in zip(cols, (pa.int32(), pa.int32(), pa.list_(pa.int64()), pa.string()))]
-            yield pa.RecordBatch.from_arrays([*b.columns[: len(rest)], *made], names=[*rest, *added])
+                    got = (None, None, None, str(e))
+                size = len(got[2] or ())
+                if held and held + size > BATCH_PIXELS:
+                    yield flush(i)
+                    rows, first, held = [], i, 0
+                rows.append(got if got[2] is None else (*got[:2], np.array(got[2], np.int64), None))
+                held += size
+            yield flush(b.num_rows)
 
     return map_arrow(df.select(*map(name, rest), name(media)), run, out)
 
