@@ -5,8 +5,8 @@ frequencies counted over all documents. Weights are trained by follow-the-regula
 leader with per-coordinate rates and elastic-net penalties, which leave most of them zero;
 a temperature fitted on held-out documents then calibrates the probabilities.
 
-Training uses at most ``PER_LANGUAGE`` documents of each labelled language, by the hash of
-their id; a fifth of them is held out for the temperature.
+Training uses about ``PER_LANGUAGE`` documents of each labelled language (all of them if there
+are no more), by a hash of their id and text; a fifth of them is held out for the temperature.
 """
 
 from __future__ import annotations
@@ -135,7 +135,12 @@ def temperature(logits: np.ndarray, y: np.ndarray) -> float:
 
 
 def fit(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", per_language: int = PER_LANGUAGE, seed: int = SEED) -> Model | None:
-    """A model from the documents that have a language, or None if none has."""
+    """A model from the documents that have a language and a text, or None if none has.
+
+    A document is used if a hash of its id and text is below a share of its language, so
+    how many are used varies about ``per_language`` as in independent draws. Repeated rows
+    are used once; rows without an id are told apart by their texts.
+    """
     known = docs.filter(name(lang).isNotNull() & name(text).isNotNull() & (name(text) != ""))
     counts = {r[0]: r[1] for r in known.groupBy(name(lang)).count().collect()}
     if not counts:
@@ -144,8 +149,8 @@ def fit(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str =
     idf = np.log((1 + total) / (1 + df)) + 1
     languages = sorted(counts)
     share = F.create_map(*[x for c in languages for x in (F.lit(c), F.lit(min(1.0, per_language / counts[c])))])
-    unit = F.pmod(F.xxhash64(F.lit(seed), name(doc_id)), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    got = known.filter(unit < F.element_at(share, name(lang))).select(name(doc_id).cast("string").alias("id"), name(lang).alias("lang"), F.xxhash64(F.lit(seed + 1), name(doc_id)).alias("h"), name(text).cast("binary").alias("raw"))
+    unit = F.pmod(F.xxhash64(F.lit(seed), name(doc_id), name(text)), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    got = known.filter(unit < F.element_at(share, name(lang))).select(name(doc_id).cast("string").alias("id"), name(lang).alias("lang"), F.xxhash64(F.lit(seed + 1), name(doc_id), name(text)).alias("h"), name(text).cast("binary").alias("raw"))
     floats = idf
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -153,7 +158,7 @@ def fit(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str =
             xs = [weighted(x.as_py(), floats) for x in b.column(3)]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array([a.tobytes() for a, _ in xs], pa.binary()), pa.array([x.astype(np.float32).tobytes() for _, x in xs], pa.binary())], names=["id", "lang", "h", "at", "x"])
 
-    t = got.mapInArrow(run, "id string, lang string, h long, at binary, x binary").toArrow().sort_by([("h", "ascending"), ("id", "ascending")]).to_pylist()
+    t = got.mapInArrow(run, "id string, lang string, h long, at binary, x binary").dropDuplicates(["id", "lang", "h"]).toArrow().sort_by([("h", "ascending"), ("id", "ascending")]).to_pylist()
     rows = [(np.frombuffer(r["at"], np.int32), np.frombuffer(r["x"], np.float32).astype(np.float64), languages.index(r["lang"])) for r in t]
     held = rows[::5] if len(rows) >= 50 else []
     learnt = [r for i, r in enumerate(rows) if i % 5] if held else rows
