@@ -42,7 +42,7 @@ def test_near_lines_get_exact_counts(spark):
 
 
 def test_names_that_are_taken_and_no_rows(spark):
-    docs = docs_of(spark, [(1, "a line that all have", "en", s) for s in "abc"]).selectExpr("*", "1 AS n_removed", "2 AS kept_lines", "3 AS text_key", "4 AS `x.y`")
+    docs = docs_of(spark, [(1, "a line that all have", "en", s) for s in "abc"]).selectExpr("*", "1 AS n_removed", "2 AS kept_lines", "3 AS row_key", "4 AS `x.y`")
     for inline in (0, 10):
         got = remove_boilerplate(docs, 3, inline=inline)
         assert got.columns == [*docs.columns, "_n_removed"]

@@ -17,7 +17,8 @@ MIN_CHARS = 10
 LG_K = 12
 #: Standard errors of the sketch that count as near the threshold.
 ERRORS = 5
-#: Up to so many boilerplate lines, a set in the plan finds them; beyond, joins do.
+#: Up to so many boilerplate lines, a set in the plan finds them; beyond, joins do, with the
+#: same result.
 INLINE = 20_000
 
 
@@ -58,19 +59,19 @@ def remove_boilerplate(docs: DataFrame, min_sites: int = MIN_SITES, min_chars: i
     """
     bad = boilerplate(docs, min_sites, min_chars, text, site)
     n = bad.count()
-    kept, added, key, drop = fresh(docs, "kept_lines", count, "text_key", "drop_at")
+    kept, added, key, drop = fresh(docs, "kept_lines", count, "row_key", "drop_at")
     lines = _lines(name(text))
     if n <= inline:
         hashes = [r[0] for r in bad.collect()]
         hit = lambda x: (F.char_length(F.trim(x)) >= min_chars) & (_hash(x).isin(hashes) if hashes else F.lit(False))
         out = docs.withColumn(kept, F.filter(lines, lambda x: ~hit(x)))
     else:
-        ids = F.xxhash64(name(text))
-        at = docs.filter(name(text).isNotNull()).select(ids.alias(key), name(text).alias("t")).dropDuplicates([key])
-        at = at.select(key, F.posexplode(_lines(F.col("t"))).alias("pos", "line")).filter(F.char_length(F.trim("line")) >= min_chars)
+        # rows are known by a number that is written with them, since neither ids nor texts need be unique
+        out = written(docs.withColumn(key, F.monotonically_increasing_id()), "line-rows")
+        at = out.select(key, F.posexplode(_lines(name(text))).alias("pos", "line")).filter(F.char_length(F.trim("line")) >= min_chars)
         at = at.select(key, "pos", _hash(F.col("line")).alias("line_hash")).join(bad, "line_hash", "left_semi")
         places = at.groupBy(key).agg(F.collect_list("pos").alias(drop))
-        out = docs.withColumn(key, ids).join(places, key, "left")
+        out = out.join(places, key, "left")
         out = out.withColumn(kept, F.filter(lines, lambda x, i: ~F.coalesce(F.array_contains(F.col(drop), i), F.lit(False)))).drop(key, drop)
     out = out.withColumn(added, F.coalesce(F.size(lines) - F.size(kept), F.lit(0)).cast("long"))
     new = F.when(F.col(added) > 0, F.array_join(kept, "\n")).otherwise(name(text))
