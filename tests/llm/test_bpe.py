@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import pytest
 import tiktoken
 from llm_cases import SF, docs_of
@@ -33,7 +34,7 @@ def test_words_of_all_kinds(mine, other):
         assert mine.encode(text).tolist() == other.encode_ordinary(text)
         assert mine.decode(mine.encode(text)) == text.encode()
         raw = text.encode()
-        assert mine.short(raw) == mine.long(raw)
+        assert not raw or mine.short([raw]) == [np.array(mine.long(raw), "<i4").tobytes()]
 
 
 def test_very_long_words(mine, other):
@@ -52,3 +53,35 @@ def test_odd_rows(spark):
     back = bpe.decode(got, ids="_token_ids").select("doc_id", "text").collect()
     assert sorted([tuple(r) for r in back], key=repr) == sorted(rows, key=repr)
     assert bpe.encode(docs.limit(0)).count() == 0 and bpe.decode(got.limit(0), ids="_token_ids").count() == 0
+
+
+def one_word(ranks, word):
+    """Ids of a word with one list of boundaries and one of adjacent ranks, a word at a time."""
+    none = 1 << 40
+    bounds = list(range(len(word) + 1))
+    adjacent = [ranks.get(word[i : i + 2], none) for i in range(len(word) - 1)]
+    while adjacent and min(adjacent) < none:
+        i = adjacent.index(min(adjacent))
+        del bounds[i + 1], adjacent[i]
+        for k in (i - 1, i):
+            if 0 <= k < len(adjacent):
+                adjacent[k] = ranks.get(word[bounds[k] : bounds[k + 2]], none)
+    return [ranks[word[a:b]] for a, b in zip(bounds, bounds[1:])]
+
+
+def test_words_encoded_together_are_as_one_by_one(mine):
+    rng = random.Random(7)
+    words = [bytes(rng.choice(b"etaoin shrdlu\xc3\xa9.") for _ in range(rng.randrange(1, 60))) for _ in range(3000)]
+    words += [bytes(rng.randrange(256) for _ in range(n)) for n in (1, 2, 3, 50, bpe.LONG)]
+    assert [np.frombuffer(x, "<i4").tolist() for x in mine.short(words)] == [one_word(mine.ranks, w) for w in words]
+
+
+def test_texts_encoded_together(mine, other, monkeypatch):
+    """White space of all kinds around words, and memories that are cleared now and then."""
+    monkeypatch.setattr(bpe, "REMEMBERED", 200)
+    rng = random.Random(5)
+    texts = ["".join(rng.choice([" ", " ", "\n", "\t", "\x1c", "\u00a0", "a", "bb", "'s", "'", "1", ".", "\u00e9", "\u4e2d", "x" * 300]) for _ in range(rng.randrange(0, 14))) for _ in range(20_000)]
+    for i in range(0, len(texts), 500):
+        for t, got in zip(texts[i : i + 500], mine.encode_all(texts[i : i + 500])):
+            assert got.tolist() == other.encode_ordinary(t), repr(t)
+    assert len(mine.known) < 4000 and all(len(w) <= bpe.LONG for w in mine.known)

@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import shutil
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
+from functools import lru_cache
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -104,7 +107,30 @@ def name(column: str) -> Column:
 
 def map_arrow(df: DataFrame, run, schema) -> DataFrame:
     """``df.mapInArrow``, whatever the names of the columns are; ``run`` finds them by position."""
-    return df.toDF(*[f"c{i}" for i in range(len(df.columns))]).mapInArrow(run, schema)
+    return df.toDF(*[f"c{i}" for i in range(len(df.columns))]).mapInArrow(releasing(run), schema)
+
+
+def release() -> None:
+    """Give memory that a Python worker has freed back to the machine: workers stay for later stages, beside the JVM."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(_libc(), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
+@lru_cache
+def _libc() -> ctypes.CDLL:
+    return ctypes.CDLL(None)
+
+
+def releasing(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """``run`` over the batches of a partition, with ``release`` behind it."""
+
+    def then(batches: Iterator) -> Iterator:
+        yield from run(batches)
+        release()
+
+    return then
 
 
 def table(spark: SparkSession, sf_dir: str, of: str) -> DataFrame:
