@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fresh, name
+from .common import forget, fresh, name, small, written
 
 CRLF = "\r\n"
 END = CRLF * 2
@@ -78,25 +78,30 @@ def rebuild(headers: DataFrame, payloads: DataFrame, header: str = "header", pay
 
     A stored payload that no longer has its digest raises an error, and so does a missing
     one. Records of a payload that more than ``hot`` records share are spread by a hash of
-    their header; the payload is repeated for each share of them.
+    their header; the payload is repeated for each share of them. Where no payload is that
+    hot, all records are joined in the one way.
     """
     p, d, n, salt, shares = fresh(headers, payload, "stored_digest", "stored_n", "salt", "shares")
     stored = payloads.select(F.col("payload_digest").alias(d), F.col("payload").alias(p), F.col("n_records").alias(n))
     good = F.sha2(F.col(p).cast("binary"), 256) == F.col(d)
     stored = stored.withColumn(p, F.when(good, F.col(p)).otherwise(F.raise_error(F.concat(F.lit("bad payload "), F.col(d))).cast(stored.schema[p].dataType)))
     per = headers.filter(name(digest).isNotNull()).groupBy(name(digest).alias(d)).count().filter(F.col("count") > hot)
-    heat = per.select(d, F.ceil(F.col("count") / hot).cast("int").alias(shares))
-    marked = headers.filter(name(digest).isNotNull()).join(heat, name(digest) == F.col(d), "left").drop(d)
+    heat = written(per.select(d, F.ceil(F.col("count") / hot).cast("int").alias(shares)), "warc-heat")
+    n_hot = heat.count()
     kind = payloads.schema["payload"].dataType
     lost = F.when(F.col(d).isNull(), F.raise_error(F.concat(F.lit("no payload "), name(digest))).cast(kind)).otherwise(F.col(p))
     out = [*map(name, headers.columns)]
+    bare = headers.filter(name(digest).isNull()).select(*out, F.lit(None).cast(kind).alias(p))
+    if not n_hot:
+        forget(heat)
+        return headers.filter(name(digest).isNotNull()).join(stored, name(digest) == F.col(d), "left").select(*out, lost.alias(p)).unionByName(bare)
+    marked = headers.filter(name(digest).isNotNull()).join(small(heat, n_hot), name(digest) == F.col(d), "left").drop(d)
     cold = marked.filter(F.col(shares).isNull()).join(stored, name(digest) == F.col(d), "left").select(*out, lost.alias(p))
     spread = stored.filter(F.col(n) > hot).withColumn(salt, F.explode(F.sequence(F.lit(0), F.ceil(F.col(n) / hot).cast("int") - 1)))
     key = F.pmod(F.xxhash64(*[name(c) for c in headers.columns]), F.col(shares).cast("long")).cast("int")
     warm = marked.filter(F.col(shares).isNotNull()).withColumn(salt, key)
     left, right = warm.alias("h"), spread.withColumnRenamed(salt, salt + "_p")
     warm = left.join(right, (name(digest) == F.col(d)) & (F.col(salt) == F.col(salt + "_p")), "left").select(*out, lost.alias(p))
-    bare = headers.filter(name(digest).isNull()).select(*out, F.lit(None).cast(kind).alias(p))
     return cold.unionByName(warm).unionByName(bare)
 
 
