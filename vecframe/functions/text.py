@@ -3,8 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections import Counter
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -59,8 +58,7 @@ def mix64(v):
 class HashEmbedder:
     """Signed feature hashing of tokens, token pairs and character n-grams within tokens.
 
-    The same text always gives the same vector. Features of a token are kept, since tokens
-    recur; the sums run over all tokens of the whole text.
+    The same text always gives the same vector; the sums run over all tokens of the whole text.
     """
 
     dimension: int
@@ -81,6 +79,23 @@ class HashEmbedder:
     def fingerprint(self) -> str:
         return f"{fnv1a(repr((self.provider, self.model, self.revision, self.dimension, *_MODELS[self.model, self.revision])).encode()):016x}"
 
+    def artifact(self) -> dict:
+        """All that the vectors depend on, to be kept with a database."""
+        seed, least, most, projections = _MODELS[self.model, self.revision]
+        return {"format": "hash-embedder", "version": 1, **self.identity, "dimension": self.dimension, "seed": seed, "least": least, "most": most, "projections": projections, "fingerprint": self.fingerprint()}
+
+    @classmethod
+    def from_artifact(cls, found: dict) -> HashEmbedder:
+        """The embedder of an artifact; ConfigError if this one would give other vectors."""
+        try:
+            made = cls(found["dimension"], found["model"], found["revision"])
+        except (KeyError, TypeError) as e:
+            raise ConfigError(f"the embedder's file is damaged: {e}") from e
+        wrong = [k for k, v in made.artifact().items() if found.get(k) != v]
+        if wrong:
+            raise ConfigError(f"the embedder's file differs in {', '.join(wrong)}")
+        return made
+
     def features(self, text: str) -> list[str]:
         _, least, most, _ = _MODELS[self.model, self.revision]
         words, out = tokens_of(text), []
@@ -93,51 +108,84 @@ class HashEmbedder:
         return out
 
     def embed(self, text: str) -> np.ndarray:
-        seed, least, most, projections = _MODELS[self.model, self.revision]
-        words = tokens_of(text)
-        counts = Counter(words)
-        parts = [_hashes_of(w, least, most) for w in counts]
-        base = np.concatenate([*parts, _pair_hashes(words)])
-        times = np.concatenate([np.repeat([float(n) for n in counts.values()], [len(p) for p in parts]), np.ones(len(base) - sum(map(len, parts)))])
-        base ^= np.uint64(seed)
-        out = np.zeros(self.dimension)
+        return self.embed_batch([text])[0]
+
+    def embed_batch(self, texts: Sequence[str]) -> np.ndarray:
+        """Vectors of texts, one to a row."""
+        out, first, size = np.zeros((len(texts), self.dimension), np.float32), 0, 0
+        words: list[list[str]] = []
+        for i, t in enumerate(texts):
+            words.append(tokens_of(t))
+            size += len(words[-1])
+            if size >= _TOKENS or i == len(texts) - 1:
+                out[first : i + 1] = self._embedded(words)
+                words, first, size = [], i + 1, 0
+        return out
+
+    def _embedded(self, texts: list[list[str]]) -> np.ndarray:
+        """The features of a text add up, so each different token is projected once and its vector counted as often as it occurs."""
+        _, least, most, _ = _MODELS[self.model, self.revision]
+        number: dict[str, int] = {}
+        ids = np.array([number.setdefault(w, len(number)) for words in texts for w in words], np.int64)
+        at = np.repeat(np.arange(len(texts)), [len(w) for w in texts])
+        if not len(ids):
+            return np.zeros((len(texts), self.dimension))
+        flat, starts, sizes = _joined([f"^{w}$".encode() for w in number])
+        plain = _fnv(flat, starts + 1, sizes - 2, np.full(len(sizes), _FNV, np.uint64))
+        of, hashes = [np.arange(len(sizes))], [plain]
+        ends = np.repeat(starts + sizes, sizes)
+        owner = np.repeat(np.arange(len(sizes)), sizes)
+        for n in range(least, most + 1):
+            begin = np.flatnonzero(np.arange(len(flat)) + n <= ends)
+            h = np.full(len(begin), _FNV, np.uint64)
+            for k in range(n):
+                h = (h ^ flat[begin + k]) * _PRIME
+            of.append(owner[begin])
+            hashes.append(h)
+        vectors = self._projected(np.concatenate(hashes), np.concatenate(of), len(sizes))
+        pair, times = np.unique(at * len(sizes) + ids, return_counts=True)
+        out = np.zeros((len(texts), self.dimension))
+        owners, words = np.divmod(pair, len(sizes))
+        for first, end in zip(*(np.searchsorted(owners, np.arange(len(texts)), side) for side in ("left", "right"))):
+            out[owners[first : first + 1]] = times[first:end] @ vectors[words[first:end]]
+        next_to = np.flatnonzero(at[1:] == at[:-1])
+        h = (plain[ids[next_to]] ^ np.uint64(ord("_"))) * _PRIME
+        second = ids[next_to + 1]
+        h = _fnv(flat, starts[second] + 1, sizes[second] - 2, h)
+        return out + self._projected(h, at[next_to], len(texts))
+
+    def _projected(self, hashes: np.ndarray, of: np.ndarray, n: int) -> np.ndarray:
+        """Signed sums of hashed features for each of ``n`` owners."""
+        seed, _, _, projections = _MODELS[self.model, self.revision]
+        base = hashes ^ np.uint64(seed)
+        out = np.zeros(n * self.dimension)
         for p in range(projections):
             mixed = mix64(base + np.uint64(p * 0x9E3779B97F4A7C15 & _M64))
-            sign = np.where(mixed >> np.uint64(63), times, -times) / (p + 1)
-            out += np.bincount((mixed % np.uint64(self.dimension)).astype(np.intp), sign, self.dimension)
-        return out.astype(np.float32)
-
-    def embed_batch(self, texts: Sequence[str]) -> list[np.ndarray]:
-        return [self.embed(t) for t in texts]
+            sign = np.where(mixed >> np.uint64(63), 1.0, -1.0) / (p + 1)
+            out += np.bincount(of * self.dimension + (mixed % np.uint64(self.dimension)).astype(np.int64), sign, len(out))
+        return out.reshape(n, -1)
 
 
 _MODELS = {("default", "v1"): (0x6A09E667F3BCC909, 3, 5, 4), ("compact", "v1"): (0xBB67AE8584CAA73B, 3, 4, 2)}
-_hashes: dict[tuple[str, int, int], np.ndarray] = {}
-
-
-def _hashes_of(word: str, least: int, most: int) -> np.ndarray:
-    """Hashes of a token and its character n-grams; the token's own come from memory when it recurs."""
-    key = (word, least, most)
-    if key not in _hashes:
-        if len(_hashes) > 200_000:
-            _hashes.clear()
-        b = f"^{word}$"
-        _hashes[key] = np.array([fnv1a(x.encode()) for x in [word, *(b[s : s + n] for n in range(least, most + 1) for s in range(len(b) - n + 1))]], np.uint64)
-    return _hashes[key]
-
-
-def _pair_hashes(words: list[str]) -> np.ndarray:
-    """Hashes of ``a_b`` for adjacent tokens, all pairs at once, a byte at a time."""
-    if len(words) < 2:
-        return np.zeros(0, np.uint64)
-    joined = [f"{a}_{b}".encode() for a, b in zip(words, words[1:])]
-    sizes = np.array([len(x) for x in joined])
+_FNV, _PRIME = np.uint64(1469598103934665603), np.uint64(1099511628211)
+#: So many tokens at least are embedded together.
+_TOKENS = 100_000
+
+
+def _joined(parts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    sizes = np.array([len(x) for x in parts])
+    return np.frombuffer(b"".join(parts), np.uint8), np.cumsum(sizes) - sizes, sizes
+
+
+def _fnv(flat: np.ndarray, starts: np.ndarray, sizes: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """``fnv1a`` of many parts of a byte array at once, a byte of each at a time, going on from ``h``."""
+    if not len(sizes):
+        return h
     order = np.argsort(-sizes, kind="stable")
-    starts, flat = (np.cumsum(sizes) - sizes)[order], np.frombuffer(b"".join(joined), np.uint8)
-    h = np.full(len(joined), 1469598103934665603, np.uint64)
+    starts, h = starts[order], h[order]
     live = np.searchsorted(-sizes[order], -np.arange(sizes.max()), "left")
     for at, n in enumerate(live):
-        h[:n] = (h[:n] ^ flat[starts[:n] + at]) * np.uint64(1099511628211)
+        h[:n] = (h[:n] ^ flat[starts[:n] + at]) * _PRIME
     out = np.empty_like(h)
     out[order] = h
     return out
@@ -157,12 +205,13 @@ def embed_column(df: DataFrame, embedder, text: str = "text", out: str = "vector
         got = list(call(given)) if given else []
         if len(got) != len(given):
             raise ValueError(f"the embedder gave {len(got)} vectors for {len(given)} texts")
-        vectors: Iterator = iter([float(x) for x in v] for v in got)
-        rows = [None if t is None else next(vectors) for t in texts.to_pylist()]
-        sizes = {len(r) for r in rows if r is not None}
+        sizes = {len(v) for v in got}
         if len(sizes) > 1 or expect and sizes - {expect}:
             raise ValueError(f"the embedder gave vectors of dimension {sorted(sizes)}")
-        return pa.array(rows, pa.list_(pa.float32()))
+        flat = np.asarray(got, np.float32).ravel()
+        there = np.array([t.is_valid for t in texts], bool)
+        ends = np.concatenate([[0], np.cumsum(there)]).astype(np.int32) * (sizes.pop() if sizes else 0)
+        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat), mask=pa.array(~there)) if len(there) else pa.array([], pa.list_(pa.float32()))
 
     run.__annotations__ = {"texts": pa.Array, "return": pa.Array}
     return df.withColumn(out, F.arrow_udf(run, "array<float>")(F.col(text)))
