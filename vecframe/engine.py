@@ -5,28 +5,39 @@ Reads give lazy DataFrames. Writes are commits; ``transaction`` gathers several
 
 from __future__ import annotations
 
+import atexit
+import contextlib
+import json
+import shutil
+import tempfile
 import uuid
 from collections.abc import Iterable, Mapping, Sequence
 from dataclasses import dataclass, replace
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .config import Config, QuantParams, requires_normalization
 from .errors import ConfigError, DimensionMismatch, InvalidVector, LockConflict, NotFound, StorageError
 from .functions import vectors as V
-from .functions.ids import generate_id, parse_id
-from .functions.text import HashEmbedder
+from .functions.ids import generate_id, id_column, id_of, new_ids
+from .functions.text import HashEmbedder, embed_column
 from .operators import ivf, quantize, search
 from .operators.filters import Filter, MetaBinding
 from .plans import query_language as ql
 from .plans.planner import QueryPlan, plan_seek
 from .sources import jsonl
+from .sources.files import Files
 from .sources.store import LOG, Manifest, Store
 from .types import META, RECORD, MetaValue, meta_row
 
+EMBEDDER = "embedder.json"
+#: Inverted lists are trained again when a collection has grown by this factor.
+GROWTH = 2
+#: After so many commits the log is folded into segments by itself.
+PENDING_COMMITS = 64
 _writers: set[str] = set()
 HIT = [f.name for f in RECORD.fields if f.name not in ("vector", "codes", "list_id")]
 
@@ -67,6 +78,7 @@ class Engine:
         self.spark, self.temporary = spark, path == ":memory:"
         if self.temporary:
             path = f"{_scratch(spark)}/memory-{uuid.uuid4().hex}"
+            atexit.register(_delete, spark, path)
         self.path, self.closed, self._frozen = path, False, set()
         self.store = Store(spark, path)
         found = self.store.manifest()
@@ -77,6 +89,8 @@ class Engine:
                 raise ConfigError("a new database needs a dimension")
             local = embedder is None and config.auto_text_embedder
             model = HashEmbedder(config.dimension).identity if local else {**lineage} if embedder is not None and lineage else None
+            if local:
+                self.store.files.publish(EMBEDDER, json.dumps(HashEmbedder(config.dimension).artifact()))
             found = self.store.publish(Manifest(0, replace(config, access_mode="read_write"), embedder=model))
         elif config.dimension and config.dimension != found.config.dimension:
             raise ConfigError(f"the database has dimension {found.config.dimension}")
@@ -85,8 +99,10 @@ class Engine:
         self.manifest, self.read_only = found, config.access_mode == "read_only"
         self.config = replace(found.config, access_mode=config.access_mode)
         self._embedder, self._lineage = embedder, found.embedder
+        self._held = None
         if not self.read_only:
-            if path in _writers:
+            self._held = None if path in _writers else self.store.files.lock()
+            if self._held is None:
                 raise LockConflict(f"{path} is open for writing")
             _writers.add(path)
 
@@ -112,7 +128,10 @@ class Engine:
         if self._embedder is not None:
             return self._embedder
         if self._lineage and self._lineage.get("provider") == "local":
-            return HashEmbedder(self.config.dimension, self._lineage["model"], self._lineage["revision"])
+            made = HashEmbedder.from_artifact(json.loads(self.store.files.read(EMBEDDER)))
+            if made.dimension != self.config.dimension or made.identity != self._lineage:
+                raise ConfigError("the embedder's file is of another database")
+            return made
         raise ConfigError("this database has no text embedder")
 
     def describe_embedder(self) -> dict:
@@ -144,9 +163,20 @@ class Engine:
         return (self.spark.createDataFrame([], LOG).withColumn("seq", F.lit(0).cast("long")) if log is None else log).orderBy("seq", "at")
 
     def checkpoint(self) -> None:
+        """Fold the log into segments; inverted lists whose collection has grown to GROWTH times what they were trained on are trained again."""
         self.writable()
         if self.store.entries(self.manifest):
-            self.manifest = self.store.checkpoint(self.manifest)
+            pending = {n for _, e in self.store.entries(self.manifest) for n in e["collections"]}
+            listed = {n: (self.collection(n)._listed(), {}) for n in pending if self.manifest.collections.get(n, {}).get("lists")}
+            self.manifest = self.store.checkpoint(self.manifest, listed)
+            for name, info in list(self.manifest.collections.items()):
+                if info.get("lists") and info["rows"] > GROWTH * info.get("trained_rows", info["rows"]) and not info.get("codebook"):
+                    self.collection(name).rebuild()
+
+    def _settle(self) -> None:
+        """After a commit: a checkpoint, if so many commits are pending."""
+        if not self.temporary and len(self.store.entries(self.manifest)) >= PENDING_COMMITS:
+            self.checkpoint()
 
     def compact(self) -> None:
         """Fold the log into segments, train inverted lists again and delete what is unused."""
@@ -169,7 +199,7 @@ class Engine:
             return search.project(hits, s.fields)
         zero = F.lit(0.0).alias("distance")
         if isinstance(s, ql.Fetch):
-            return search.fetch(c.records(), parse_id(s.id)).select(*HIT, zero)
+            return search.fetch(c.records(), id_of(s.id)).select(*HIT, zero)
         if isinstance(s, ql.Scan):
             return c.sweep(where=s.where, offset=s.offset, limit=s.limit).select(*HIT, zero)
         if isinstance(s, ql.Place):
@@ -206,6 +236,14 @@ class Engine:
         self.closed = True
         if not self.read_only:
             _writers.discard(self.path)
+            if hasattr(self._held, "close"):
+                self._held.close()
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    """Delete a temporary database at the end of the driver, since what was read from it is lazy."""
+    with contextlib.suppress(Exception):  # the session has ended before, and its folder with it
+        Files(spark, path).delete("")
 
 
 def _scratch(spark: SparkSession) -> str:
@@ -215,10 +253,6 @@ def _scratch(spark: SparkSession) -> str:
         return named.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
         raise ConfigError("spark.checkpoint.dir must name a folder that all executors share")
-    import atexit
-    import shutil
-    import tempfile
-
     made = tempfile.mkdtemp(prefix="vecframe-")
     atexit.register(shutil.rmtree, made, True)
     return "file://" + made
@@ -236,7 +270,7 @@ class Transaction:
         return row["id"]
 
     def erase(self, collection: str, id: str) -> None:
-        self.rows.append((collection, "erase", {"id": parse_id(id), "codec": "none"}))
+        self.rows.append((collection, "erase", {"id": id_of(id), "codec": "none"}))
 
     def commit(self) -> None:
         if self.done:
@@ -268,6 +302,7 @@ def _commit(self: Engine, rows: list[tuple[str, str, dict]]) -> None:
             row = {**row, "codes": bytearray(q.encode(np.array([row["vector"]]))[0].tobytes()), "codec": q.codec, "vector": None}
         out.append(tuple([c, op, at, *[row.get(f.name) for f in RECORD.fields]]))
     self.store.commit(self.manifest, self.spark.createDataFrame(out, LOG), list(codecs))
+    self._settle()
 
 
 Engine._commit = _commit
@@ -277,7 +312,7 @@ class Collection:
     """A named set of records of one dimension and metric."""
 
     def __init__(self, engine: Engine, name: str):
-        self.engine, self.name = engine, name
+        self.engine, self.name, self._erased = engine, name, 0
 
     # writing
 
@@ -285,7 +320,7 @@ class Collection:
         e = self.engine
         if vector is None and text is None:
             raise ConfigError("a record needs a vector or a text")
-        key = parse_id(key) if key is not None else generate_id()
+        key = id_of(key) if key is not None else generate_id()
         if text is not None:
             document = {"uri": "", **(document or {}), "text": text}
         if vector is None:
@@ -343,31 +378,51 @@ class Collection:
     def ingest_df(self, df: DataFrame, meta: Sequence[str] = (), id: str | None = None, vector: str = "vector", text: str | None = None) -> None:
         """Write a DataFrame in one commit, distributed; columns named in ``meta`` become metadata.
 
-        Ids that are no UUIDs are kept as text. Without ``id``, ids are made from a hash of
-        the row, so that a task that runs again makes the same ones.
+        A value of ``id`` that is no record id stands for one that is made from its text, as
+        everywhere (``ids.id_of``), so ``pull`` and ``discard`` take the same values; a null
+        gets a new id. Without ``id`` every row gets a new one, repeated rows too. Of rows
+        with one id the last stays. If there is no column ``vector``, it is embedded from ``text``.
         """
         self.engine.writable(self.name)
         e = self.engine
         fields = {f.name: f.dataType for f in df.schema.fields}
-        v = F.col(vector).cast("array<float>")
-        bad = F.when(F.size(v) != e.config.dimension, F.raise_error(F.lit(f"DimensionMismatch: expected {e.config.dimension} components"))).when(~V.is_finite(v), F.raise_error(F.lit("InvalidVector: a component is not finite"))).cast("array<float>")
-        v = F.coalesce(bad, (V.normalize(v) if requires_normalization(e.config.metric) else v).cast("array<float>"))
-        key = F.col(id).cast("string") if id else F.sha2(F.to_json(F.struct(*df.columns)), 256)
+        if text and vector not in df.columns:
+            df = embed_column(df, e.embedder(), text, vector)
+        v = _sound(F.col(vector), e)
+        made = new_ids(uuid.uuid4().hex, F.monotonically_increasing_id())
+        key = F.coalesce(id_column(F.col(id).cast("string")), made) if id else made
         m = F.map_filter(F.map_from_arrays(F.array(*[F.lit(n) for n in meta]), F.array(*[_tagged(F.col(n), fields[n]) for n in meta])), lambda k, x: x["k"].isNotNull()) if meta else F.lit(None)
         doc = F.struct(F.col(text).alias("text"), F.lit(None).cast("string").alias("uri"), F.lit("text/plain").alias("mime_type")) if text else F.lit(None)
         nulls = {f.name: F.lit(None) for f in RECORD.fields}
         rows = {**nulls, "id": key, "vector": v, "meta": m, "document": doc, "codec": F.lit("none")}
-        out = df.select(F.lit(self.name).alias("collection"), F.lit("place").alias("op"), F.monotonically_increasing_id().alias("at"), *[c.cast(RECORD[n].dataType).alias(n) for n, c in rows.items()])
-        q = self.quantizer()
+        self._place(df.select(*[c.alias(n) if n == "vector" else c.cast(RECORD[n].dataType).alias(n) for n, c in rows.items()]))
+
+    def _place(self, rows: DataFrame) -> None:
+        """Commit rows of the schema RECORD, encoded if the collection is."""
+        e, q = self.engine, self.quantizer()
+        out = rows.select(F.lit(self.name).alias("collection"), F.lit("place").alias("op"), F.monotonically_increasing_id().alias("at"), "*")
         if q is not None:
-            out = quantize.encode_column(out, q).withColumns({"codec": F.lit(q.codec), "vector": F.lit(None).cast("array<float>")})
+            coded = quantize.encode_column(out.drop("codes"), q, out="new_codes")
+            out = coded.withColumns({"codes": F.col("new_codes"), "codec": F.lit(q.codec), "vector": F.lit(None).cast("array<float>")})
+        e.store.commit(e.manifest, out, [self.name])
+        e._settle()
+
+    def place_records(self, rows: DataFrame) -> None:
+        """Write rows of the schema RECORD as they are: nothing is embedded, normalised or encoded again.
+
+        For records that another collection of the same dimension, metric and codec gave.
+        """
+        self.engine.writable(self.name)
+        e = self.engine
+        out = rows.select(F.lit(self.name).alias("collection"), F.lit("place").alias("op"), F.monotonically_increasing_id().alias("at"), *[F.col(f.name) for f in RECORD.fields if f.name != "list_id"], F.lit(None).cast("int").alias("list_id"))
         e.store.commit(e.manifest, out, [self.name])
+        e._settle()
 
     def discard(self, keys: Sequence[str] | None = None, where: Filter | None = None, missing_ok: bool = False) -> int:
         """Delete the records that have one of these keys or pass the filter; their number."""
         self.engine.writable(self.name)
         rows = self.records()
-        wanted = [parse_id(k) for k in keys or ()]
+        wanted = [id_of(k) for k in keys or ()]
         hit = F.lit(False)
         if wanted:
             hit = hit | F.col("id").isin(wanted)
@@ -381,11 +436,23 @@ class Collection:
             raise NotFound("no record to delete")
         nulls = {f.name: F.lit(None).cast(f.dataType) for f in RECORD.fields}
         out = gone.select(F.lit(self.name).alias("collection"), F.lit("erase").alias("op"), F.lit(0).cast("long").alias("at"), *[{**nulls, "id": F.col("id"), "codec": F.lit("none")}[f.name].alias(f.name) for f in RECORD.fields])
-        self.engine.store.commit(self.engine.manifest, out, [self.name])
+        e = self.engine
+        e.store.commit(e.manifest, out, [self.name])
+        self._erased += n
+        if not e.temporary and self._erased >= e.config.graph.compaction_ratio * max(1, self._known_rows()):
+            e.checkpoint()
+            self._erased = 0
+        e._settle()
         return n
 
     delete = discard
 
+    def _known_rows(self) -> int:
+        """Records, by the manifest if no commit is pending, else counted."""
+        e = self.engine
+        info = e.manifest.collections.get(self.name, {})
+        return info["rows"] if "rows" in info and not e.store.pending(e.manifest, self.name) else self.count()
+
     # reading
 
     def records(self) -> DataFrame:
@@ -394,6 +461,17 @@ class Collection:
     def count(self) -> int:
         return self.records().count()
 
+    def _listed(self) -> DataFrame:
+        """Records with rows that are in no inverted list yet put into theirs, codes by what they decode to."""
+        rows, lists = self.records(), self._lists()
+        fresh = rows.filter(F.col("list_id").isNull()).drop("list_id")
+        if self.quantizer() is not None:
+            fresh = quantize.decode_column(fresh, self.quantizer(), out="_decoded")
+            fresh = ivf.assign(fresh, lists, "_decoded").drop("_decoded")
+        else:
+            fresh = ivf.assign(fresh, lists)
+        return rows.filter(F.col("list_id").isNotNull()).unionByName(fresh.select(*[f.name for f in RECORD.fields]))
+
     def quantizer(self) -> quantize.Quantizer | None:
         book = self.engine.manifest.collections.get(self.name, {}).get("codebook")
         return quantize.Quantizer.loads(book) if book else None
@@ -403,7 +481,7 @@ class Collection:
         return ivf.Ivf(np.array(lists), self.engine.config.metric) if lists else None
 
     def pull(self, keys: Sequence[str], include_vectors: bool = False) -> DataFrame:
-        rows = search.pull(self._hydrated(self.records()) if include_vectors else self.records(), [parse_id(k) for k in keys])
+        rows = search.pull(self._hydrated(self.records()) if include_vectors else self.records(), [id_of(k) for k in keys])
         return rows.select(*HIT, *(["vector"] if include_vectors else []))
 
     def sweep(self, where: Filter | None = None, offset: int = 0, limit: int | None = None, include_vectors: bool = False) -> DataFrame:
@@ -422,7 +500,7 @@ class Collection:
     def plan(self, top: int, where: Filter | None = None, threshold: float | None = None, text: bool = False) -> QueryPlan:
         rows, e = self.records(), self.engine
         q = self.quantizer()
-        n = rows.count()
+        n = self._known_rows()
         exact = where is not None and where.exact_constraints() is not None
         fit = search.matching(rows, where, MetaBinding()).count() if exact and e.config.metadata_acceleration else None
         return plan_seek(n, top, where, threshold, e.config.index, q.codec if q else "none", e.config.metadata_acceleration, fit, text)
@@ -442,18 +520,31 @@ class Collection:
 
     def _near(self, query, top, where, threshold) -> DataFrame:
         e, rows = self.engine, self.records()
-        if not top:
+        if top == 0:
             return rows.limit(0).withColumn("distance", F.lit(0.0))
         q = search.check_query(query, e.config.dimension, e.config.metric)
         codec, lists = self.quantizer(), self._lists()
+        ann = lists is not None and e.config.index == "graph" and threshold is None and top is not None and self.plan(top, where).strategy == "ann_index"
+        probes = ivf.probes_for(len(lists.centroids), e.config.graph.ef_search) if ann else 0
         if codec is not None:
-            near = quantize.scored_codes(search.matching(rows, where, MetaBinding()), codec, q, e.config.metric)
-            near = near.filter(F.col("distance") <= threshold) if threshold is not None else near
-            return near.orderBy("distance", "id").limit(top)
-        if lists is not None and e.config.index == "graph" and threshold is None and self.plan(top, where).strategy == "ann_index":
+            # rows written since the lists were made are in none and always scored
+            order = [int(i) for i in lists.order(q)] if ann else []
+            while True:
+                some = rows.filter(F.col("list_id").isNull() | F.col("list_id").isin(order[:probes])) if probes < len(order) else rows
+                near = quantize.scored_codes(search.matching(some, where, MetaBinding()), codec, q, e.config.metric)
+                near = near.filter(F.col("distance") <= threshold) if threshold is not None else near
+                near = near.orderBy("distance", "id")
+                near = near if top is None else near.limit(top)
+                if probes >= len(order):
+                    return near
+                found = near.collect()
+                if len(found) >= top:
+                    return e.spark.createDataFrame(found, near.schema)
+                probes *= 4
+        if ann:
             fresh = rows.filter(F.col("list_id").isNull())
             rows = ivf.assign(fresh, lists).unionByName(rows.filter(F.col("list_id").isNotNull()))
-            return ivf.search_filled(rows, lists, q, top, ivf.probes_for(len(lists.centroids), e.config.graph.ef_search), where=where, binding=MetaBinding())
+            return ivf.search_filled(rows, lists, q, top, probes, where=where, binding=MetaBinding())
         return search.exact_knn(rows, q, top, e.config.metric, where, threshold, binding=MetaBinding())
 
     def probe_text(self, text: str, top: int = 10, where: Filter | None = None, threshold: float | None = None, include_vectors: bool = False) -> DataFrame:
@@ -468,7 +559,7 @@ class Collection:
         w = min(1.0, max(0.0, weight))
         if not text or not w:
             return self.probe(query, top, where, threshold)
-        near = search.fused(self._near(query, search.OVERFETCH * top, where, threshold), text, w, top)
+        near = search.fused(self._near(query, None if top is None else search.OVERFETCH * top, where, threshold), text, w, top)
         return near.select(*HIT, "distance", (F.col("codec") != "none").alias("approximate"))
 
     search_hybrid = seek_hybrid = probe_hybrid
@@ -489,13 +580,16 @@ class Collection:
             self._rewrite(rows, {})
             return
         index = ivf.train(rows, ivf.lists_for(n), e.config.metric)
-        self._rewrite(ivf.assign(rows, index).select(*[f.name for f in RECORD.fields]), {"lists": index.centroids.tolist()})
+        self._rewrite(ivf.assign(rows, index).select(*[f.name for f in RECORD.fields]), {"lists": index.centroids.tolist(), "trained_rows": n})
 
     def vacuum(self) -> None:
         self.engine.vacuum()
 
     def compress(self, params: QuantParams | str | None = None) -> None:
-        """Train a codec, encode every record and drop the vectors; this can't be undone."""
+        """Train a codec, encode every record and drop the vectors; this can't be undone.
+
+        For approximate search the inverted lists are made first, and codes stay in them.
+        """
         e = self.engine
         e.writable(self.name)
         p = QuantParams(params) if isinstance(params, str) else params or e.config.quantization
@@ -503,10 +597,12 @@ class Collection:
             raise ConfigError("no codec is set")
         if self.quantizer() is not None:
             raise ConfigError("the collection is compressed already")
+        if e.config.index == "graph":
+            self.rebuild()
         rows = self.records()
         q = quantize.train_on(rows, p)
-        out = quantize.encode_column(rows, q).withColumns({"codec": F.lit(q.codec), "vector": F.lit(None).cast("array<float>"), "list_id": F.lit(None).cast("int")})
-        self._rewrite(out.select(*[f.name for f in RECORD.fields]), {"codebook": q.dumps(), "lists": None})
+        out = quantize.encode_column(rows.drop("codes"), q).withColumns({"codec": F.lit(q.codec), "vector": F.lit(None).cast("array<float>")})
+        self._rewrite(out.select(*[f.name for f in RECORD.fields]), {"codebook": q.dumps()})
 
     quantize = compress
 
@@ -537,18 +633,23 @@ class Collection:
         jsonl.write_jsonl(self._hydrated(self.records()), path)
 
     def import_jsonl(self, path: str) -> None:
-        """Read JSON lines in one commit; records without an id get one each."""
+        """Read JSON lines in one commit; records without an id, or with an empty one, get one each."""
         self.engine.writable(self.name)
         e = self.engine
         rows = jsonl.read_jsonl(e.spark, path)
-        made = F.udf(lambda k: parse_id(k) if k else generate_id(), T.StringType()).asNondeterministic()
-        v = F.col("vector")
-        v = (V.normalize(v) if requires_normalization(e.config.metric) else v).cast("array<float>")
-        v = F.when(F.size("vector") != e.config.dimension, F.raise_error(F.lit("DimensionMismatch")).cast("array<float>")).otherwise(v)
+        key = F.coalesce(id_column(F.nullif(F.col("id"), F.lit(""))), new_ids(uuid.uuid4().hex, F.monotonically_increasing_id()))
         nulls = {f.name: F.lit(None).cast(f.dataType) for f in RECORD.fields}
-        cols = {**nulls, **{n: F.col(n) for n in ("meta", "document", "chunk", "lineage")}, "id": made("id"), "vector": v, "codec": F.lit("none")}
-        out = rows.select(F.lit(self.name).alias("collection"), F.lit("place").alias("op"), F.monotonically_increasing_id().alias("at"), *[c.alias(n) for n, c in cols.items()])
-        e.store.commit(e.manifest, out, [self.name])
+        cols = {**nulls, **{n: F.col(n) for n in ("meta", "document", "chunk", "lineage")}, "id": key, "vector": _sound(F.col("vector"), e), "codec": F.lit("none")}
+        self._place(rows.select(*[c.alias(n) for n, c in cols.items()]))
+
+
+def _sound(v: Column, e: Engine) -> Column:
+    """A vector column of the engine's dimension, normalised for cosine; a null vector or one that isn't sound raises an error."""
+    fails = lambda text: F.raise_error(F.lit(text)).cast("array<float>")
+    given = v.cast("array<float>")
+    made = (V.normalize(given) if requires_normalization(e.config.metric) else given).cast("array<float>")
+    wrong = given.isNull() | (F.size(given) != e.config.dimension)
+    return F.when(wrong, fails(f"DimensionMismatch: expected {e.config.dimension} components")).when(~F.coalesce(V.is_finite(given), F.lit(False)), fails("InvalidVector: a component is not finite")).otherwise(made)
 
 
 def _coerced(record: Mapping) -> dict:

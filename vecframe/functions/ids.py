@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import os
 import re
 import threading
@@ -48,8 +49,25 @@ def parse_id(text: str) -> str:
     return text_of(int(text.replace("-", ""), 16))
 
 
+def id_of(key: str) -> str:
+    """The id of a key: its canonical form if it is a record id, else one that is made from its text, always the same."""
+    return parse_id(key) if is_valid_id(key) else text_of(int(hashlib.md5(str(key).encode()).hexdigest(), 16))
+
+
+def _hyphens(h: Column) -> Column:
+    return F.concat_ws("-", *[F.substring(h, a, n) for a, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))])
+
+
 def canonical(column: Column) -> Column:
     """``parse_id`` as a column; null for what is no id."""
-    h = F.lower(F.regexp_replace(column, "-", ""))
-    parts = F.concat_ws("-", *[F.substring(h, a, n) for a, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))])
-    return F.when(column.rlike(rf"^(?:{_FORM.pattern})$"), parts)
+    return F.when(column.rlike(rf"^(?:{_FORM.pattern})$"), _hyphens(F.lower(F.regexp_replace(column, "-", ""))))
+
+
+def id_column(column: Column) -> Column:
+    """``id_of`` as a column; null for a null key."""
+    return F.when(column.isNotNull(), F.coalesce(canonical(column), _hyphens(F.md5(column))))
+
+
+def new_ids(salt: str, *parts: Column) -> Column:
+    """Ids made from a salt and columns that tell rows apart, so that a task that runs again makes the same ones."""
+    return _hyphens(F.md5(F.concat_ws("/", F.lit(salt), *[p.cast("string") for p in parts])))

@@ -19,6 +19,7 @@ from . import quantize
 from .filters import Filter
 from .search import _block, matching
 
+#: Centroids are fitted on at most so many rows, those with the least hash of their id; every row is indexed.
 TRAIN_ROWS = 100_000
 
 
@@ -35,7 +36,8 @@ class Ivf:
 
 
 def lists_for(n: int) -> int:
-    return max(1, int(round(n**0.5)))
+    """Lists of a table of ``n`` rows: its root, and at most so many that each has 40 training rows."""
+    return max(1, min(int(round(n**0.5)), TRAIN_ROWS // 40))
 
 
 def probes_for(lists: int, ef_search: int = 50) -> int:
@@ -59,13 +61,19 @@ def assign(df: DataFrame, index: Ivf, vector: str = "vector", out: str = "list_i
     def run(v: pa.Array) -> pa.Array:
         rows = v.to_pylist()
         some = np.array([r for r in rows if r is not None], np.float64)
-        got = iter(_block(some, held.value.centroids, held.value.metric).argmin(1).tolist() if len(some) else [])
+        got = iter(nearest_lists(some, held.value).tolist() if len(some) else [])
         return pa.array([None if r is None else next(got) for r in rows], pa.int32())
 
     run.__annotations__ = {"v": pa.Array, "return": pa.Array}
     return df.withColumn(out, F.arrow_udf(run, "int")(F.col(vector)))
 
 
+def nearest_lists(x: np.ndarray, index: Ivf) -> np.ndarray:
+    """The list of each row, by tiles of rows, so that memory stays with many lists."""
+    step = max(1, (1 << 22) // len(index.centroids))
+    return np.concatenate([_block(x[i : i + step], index.centroids, index.metric).argmin(1) for i in range(0, len(x), step)])
+
+
 def write_lists(df: DataFrame, path: str, list_id: str = "list_id") -> None:
     """One directory per list; rows of a list come together first, so files are few."""
     df.repartition(list_id).write.partitionBy(list_id).mode("overwrite").parquet(path)
@@ -79,12 +87,16 @@ def search(df: DataFrame, index: Ivf, query: Sequence[float], top: int, nprobe:
 
 
 def search_filled(df: DataFrame, index: Ivf, query: Sequence[float], top: int, nprobe: int, **options) -> DataFrame:
-    """``search``, with four times the lists until ``top`` rows are found or all lists are read."""
+    """``search``, with four times the lists until ``top`` rows are found or all lists are read.
+
+    Every try runs once; the one that found enough is returned as it was collected.
+    """
     lists = len(index.centroids)
     while nprobe < lists:
         hits = search(df, index, query, top, nprobe, **options)
-        if hits.count() >= top:
-            return hits
+        rows = hits.collect()
+        if len(rows) >= top:
+            return df.sparkSession.createDataFrame(rows, hits.schema)
         nprobe *= 4
     return search(df, index, query, top, lists, **options)
 
@@ -116,7 +128,7 @@ class IvfPq:
 def train_pq(df: DataFrame, lists: int, metric: str, params, vector: str = "vector", id: str = "id") -> IvfPq:
     index = train(df, lists, metric, vector, id)
     x = quantize.sample_matrix(df.filter(F.col(vector).isNotNull()), vector, id, params.train_rows)
-    return IvfPq(index, quantize.train(x - index.centroids[_block(x, index.centroids, metric).argmin(1)], params))
+    return IvfPq(index, quantize.train(x - index.centroids[nearest_lists(x, index)], params))
 
 
 def encode_pq(df: DataFrame, index: IvfPq, vector: str = "vector") -> DataFrame:
@@ -128,7 +140,7 @@ def encode_pq(df: DataFrame, index: IvfPq, vector: str = "vector") -> DataFrame:
         c = held.value.ivf.centroids
         if not len(x):
             return pa.array([], pa.struct([("l", pa.int32()), ("c", pa.binary())]))
-        at = _block(x, c, held.value.ivf.metric).argmin(1)
+        at = nearest_lists(x, held.value.ivf)
         codes = held.value.codec.encode(x - c[at])
         return pa.StructArray.from_arrays([pa.array(at.astype(np.int32)), pa.array([r.tobytes() for r in codes], pa.binary())], names=["l", "c"])
 

@@ -3,7 +3,8 @@
 One query: score, filter, order, limit, which Spark runs as a bounded top-k per partition
 and a merge. A batch of queries: each partition keeps its own best k per query with blocked
 matrix products, and a window over those picks the rest; query sets too large to hold in a
-task are joined instead. Ties are broken by id.
+task are cut into blocks, and every block of queries meets every block of rows in a task of
+its own. Ties are broken by id.
 """
 
 from __future__ import annotations
@@ -15,19 +16,20 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..errors import DimensionMismatch, InvalidVector
 from ..functions import text as text_functions
 from ..functions import vectors as V
 from .filters import ColumnBinding, Filter, MetaBinding
 
-#: Largest query matrix, in values, that every task holds; beyond it queries are joined.
+#: Largest query matrix, in values, that every task holds; beyond it queries go in blocks.
 HELD_VALUES = 4 << 20
+#: Values of a block of rows or of queries.
+BLOCK_VALUES = 2 << 20
 #: Rows of a block, and distances that a task computes at once.
 HELD_ROWS = 32_768
 HELD_CELLS = 1 << 22
-#: Results that a threshold without a top gives at most.
-RANGE_TOP = 100_000
 #: Hybrid search ranks so many times the results that are asked for.
 OVERFETCH = 5
 
@@ -73,12 +75,36 @@ def exact_knn(df: DataFrame, query: Sequence[float], top: int | None, metric: st
     return rows if top is None else rows.limit(top)
 
 
-def range_search(df: DataFrame, query: Sequence[float], threshold: float, **options) -> DataFrame:
-    return exact_knn(df, query, options.pop("top", RANGE_TOP), threshold=threshold, **options)
+def range_search(df: DataFrame, query: Sequence[float], threshold: float, top: int | None = None, **options) -> DataFrame:
+    """All rows within the threshold, nearest first; at most ``top`` if it is given."""
+    return exact_knn(df, query, top, threshold=threshold, **options)
+
+
+def _near(v: np.ndarray, q: np.ndarray, metric: str, k: int) -> np.ndarray:
+    """Which of rows ``q`` may be among the ``k`` nearest of each of ``v``: all that are, and few others.
+
+    Distances by matrix products round; the bound on that rounding is allowed for. For
+    euclidean distances the vectors are centred first, so that it is small where they are.
+    """
+    if len(q) <= k:
+        return np.ones((len(v), len(q)), bool)
+    eps = np.finfo(np.float64).eps
+    if metric != "euclidean":
+        d = -(v @ q.T)
+        slack = 4 * v.shape[1] * eps * np.linalg.norm(v, axis=1) * np.linalg.norm(q, axis=1).max()
+        return d <= np.partition(d, k - 1, axis=1)[:, k - 1 : k] + 2 * slack[:, None]
+    centre = q.mean(0)
+    shift = 4 * eps * v.shape[1] ** 0.5 * max(np.abs(v).max(), np.abs(q).max())
+    v, q = v - centre, q - centre
+    vv, qq = (v * v).sum(1), (q * q).sum(1)
+    d = vv[:, None] + qq[None, :] - 2 * (v @ q.T)
+    slack = 8 * (v.shape[1] + 2) * eps * (vv + qq.max())[:, None]
+    most = np.sqrt(np.maximum(np.partition(d, k - 1, axis=1)[:, k - 1 : k] + slack, 0)) + shift
+    return d - slack <= most * most
 
 
 def _block(v: np.ndarray, q: np.ndarray, metric: str) -> np.ndarray:
-    """Distances of (rows, queries) in double."""
+    """Distances of (rows, queries) in double, by matrix products."""
     if metric == "euclidean":
         d = (v * v).sum(1)[:, None] + (q * q).sum(1)[None, :] - 2 * (v @ q.T)
         return np.sqrt(np.maximum(d, 0))
@@ -103,53 +129,91 @@ def batch_knn(df: DataFrame, queries: DataFrame, k: int, metric: str = "cosine",
     """(query_id, rank, id, distance): the ``k`` nearest rows of each query.
 
     Vectors and queries are compared as they are; normalise both for cosine. Queries are
-    held by every task if they have at most ``held_values`` values, else they are joined.
+    held by every task if they have at most ``held_values`` values, else they go in blocks;
+    both ways give the same rows.
     """
     rows = matching(df.filter(F.col(vector).isNotNull()), where, binding).select(F.col(id).alias("id"), F.col(vector).cast("array<double>").alias("v"))
     q = queries.select(F.col(query_id).alias("query_id"), F.col(query_vector).cast("array<double>").alias("q")).filter(F.col("q").isNotNull())
     n, width = q.agg(F.count("*"), F.max(F.size("q"))).first()
-    kind, qkind = rows.schema["id"].dataType, q.schema["query_id"].dataType
-    if n * (width or 0) <= held_values:
-        held = q.orderBy("query_id").collect()
-        ids, matrix = [r[0] for r in held], np.array([r[1] for r in held], np.float64).reshape(len(held), -1)
-        sent = df.sparkSession.sparkContext.broadcast((ids, matrix))
-        near = rows.mapInArrow(_best_here(sent, k, metric), T.StructType([T.StructField("query_id", qkind), T.StructField("id", kind), T.StructField("distance", T.DoubleType())]))
-    else:
-        near = rows.crossJoin(q).select("query_id", "id", V.distance(metric, F.col("v"), F.col("q")).alias("distance"))
+    out = T.StructType([T.StructField("query_id", q.schema["query_id"].dataType), T.StructField("id", rows.schema["id"].dataType), T.StructField("distance", T.DoubleType())])
+    near = _met(rows, q, n * (width or 0), held_values, out, lambda ids, m, batch: _best_of(ids, m, batch, k, metric))
     w = Window.partitionBy("query_id").orderBy("distance", "id")
     return near.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k).select("query_id", "rank", "id", "distance")
 
 
-def _best_here(sent, k: int, metric: str):
-    """Of each block of rows, the ``k`` nearest of each query and what ties with the last of them; queries go in blocks too, so memory doesn't grow with them."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, q = sent.value
-        for batch in batches:
-            for at in range(0, batch.num_rows, HELD_ROWS):
-                part = batch.slice(at, HELD_ROWS)
-                v = _matrix(part.column(1))
-                step = max(1, HELD_CELLS // max(1, len(v)))
-                for first in range(0, len(ids) if len(v) else 0, step):
-                    some = q[first : first + step]
-                    d = _block(some, v, metric)
-                    # all that tie with the k-th stay, so that ids can break the tie
-                    near = d <= np.partition(d, k - 1, axis=1)[:, k - 1 : k] + 1e-9 if len(v) > k else np.ones(d.shape, bool)
-                    for j in np.flatnonzero(near.sum(1) > 8 * k):
-                        rows = np.flatnonzero(near[j])
-                        keys, dist = part.column(0).take(pa.array(rows)).to_pylist(), _exact(v[rows], some[j], metric)
-                        near[j, rows[sorted(range(len(rows)), key=lambda i: (dist[i], keys[i]))[k:]]] = False
-                    of, rows = np.nonzero(near)
-                    yield pa.RecordBatch.from_arrays([pa.array([ids[first + j] for j in of.tolist()]), part.column(0).take(pa.array(rows)), pa.array(_exact(v[rows], some[of], metric))], names=["query_id", "id", "distance"])
-
-    return run
-
-
-def distance_matrix(a: DataFrame, b: DataFrame, metric: str, a_id: str = "id", b_id: str = "id", a_vector: str = "vector", b_vector: str = "vector") -> DataFrame:
-    """(a_id, b_id, distance) of every pair."""
-    left = a.select(F.col(a_id).alias("a_id"), F.col(a_vector).alias("av"))
-    right = b.select(F.col(b_id).alias("b_id"), F.col(b_vector).alias("bv"))
-    return left.crossJoin(right).select("a_id", "b_id", V.distance(metric, F.col("av"), F.col("bv")).alias("distance"))
+def _met(rows: DataFrame, q: DataFrame, values: int, held: int, out: T.StructType, meet) -> DataFrame:
+    """What ``meet`` (ids of queries, their matrix, a batch of rows) yields where all queries meet all rows (id, v).
+
+    Queries of at most ``held`` values are held by every task, and rows stay where they
+    are. Else rows and queries are dealt to blocks by a hash of their ids, and each pair of
+    blocks is a task: a block of rows is sent once for each block of queries.
+    """
+    if values <= held:
+        got = q.orderBy(q.columns[0]).collect()
+        matrix = np.array([r[1] for r in got], np.float64).reshape(len(got), -1)
+        sent = rows.sparkSession.sparkContext.broadcast(([r[0] for r in got], matrix))
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            ids, m = sent.value
+            for batch in batches:
+                for at in range(0, batch.num_rows, HELD_ROWS):
+                    yield from meet(ids, m, batch.slice(at, HELD_ROWS))
+
+        return rows.mapInArrow(run, out)
+    n, width = rows.agg(F.count("*"), F.max(F.size("v"))).first()
+    of_rows, of_queries = (max(1, -(-x // BLOCK_VALUES)) for x in (n * (width or 0), values))
+    block = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = rows.select(block("id", of_rows).alias("rb"), every(of_queries).alias("qb"), "id", "v")
+    right = q.select(every(of_rows).alias("rb"), block(q.columns[0], of_queries).alias("qb"), *q.columns)
+
+    def cell(rows: pa.Table, asked: pa.Table) -> pa.Table:
+        ids, m = asked.column(2).to_pylist(), _matrix(asked.column(3).combine_chunks()) if asked.num_rows else None
+        parts = [b for batch in rows.select([2, 3]).combine_chunks().to_batches(HELD_ROWS) for b in meet(ids, m, batch)] if ids else []
+        return pa.Table.from_batches(parts) if parts else to_arrow_schema(out).empty_table()
+
+    return left.groupBy("rb", "qb").cogroup(right.groupBy("rb", "qb")).applyInArrow(cell, out)
+
+
+def _best_of(ids: list, q: np.ndarray, part: pa.RecordBatch, k: int, metric: str) -> Iterator[pa.RecordBatch]:
+    """Of a batch of rows, the ``k`` nearest of each query and what ties with the last of them; queries go in blocks too, so memory doesn't grow with them."""
+    v = _matrix(part.column(1))
+    step = max(1, HELD_CELLS // max(1, len(v)))
+    for first in range(0, len(ids) if len(v) else 0, step):
+        some = q[first : first + step]
+        # all that may tie with the k-th stay, so that ids can break the tie
+        near = _near(some, v, metric, k)
+        for j in np.flatnonzero(near.sum(1) > 8 * k):
+            rows = np.flatnonzero(near[j])
+            dist = _exact(v[rows], some[j], metric)
+            close = rows[dist <= np.partition(dist, k - 1)[k - 1]]
+            if len(close) > 8 * k:
+                keys = part.column(0).take(pa.array(close)).to_pylist()
+                dist = _exact(v[close], some[j], metric)
+                close = close[sorted(range(len(close)), key=lambda i: (dist[i], keys[i]))[:k]]
+            near[j] = False
+            near[j, close] = True
+        of, rows = np.nonzero(near)
+        yield pa.RecordBatch.from_arrays([pa.array([ids[first + j] for j in of.tolist()]), part.column(0).take(pa.array(rows)), pa.array(_exact(v[rows], some[of], metric))], names=["query_id", "id", "distance"])
+
+
+def _all_of(ids: list, q: np.ndarray, part: pa.RecordBatch, metric: str) -> Iterator[pa.RecordBatch]:
+    """The distance of every query to every row of a batch."""
+    v = _matrix(part.column(1))
+    step = max(1, HELD_CELLS // max(1, v.size))
+    for first in range(0, len(ids) if len(v) else 0, step):
+        some = q[first : first + step]
+        of, rows = np.divmod(np.arange(len(some) * len(v)), len(v))
+        yield pa.RecordBatch.from_arrays([pa.array([ids[first + j] for j in of.tolist()]), part.column(0).take(pa.array(rows)), pa.array(_exact(v[rows], some[of], metric))], names=["a_id", "b_id", "distance"])
+
+
+def distance_matrix(a: DataFrame, b: DataFrame, metric: str, a_id: str = "id", b_id: str = "id", a_vector: str = "vector", b_vector: str = "vector", held_values: int = HELD_VALUES) -> DataFrame:
+    """(a_id, b_id, distance) of every row of ``a``, which are taken as queries, to every row of ``b``; rows without a vector are in no pair."""
+    left = a.select(F.col(a_id).alias("a_id"), F.col(a_vector).cast("array<double>").alias("q")).filter(F.col("q").isNotNull())
+    right = b.select(F.col(b_id).alias("id"), F.col(b_vector).cast("array<double>").alias("v")).filter(F.col("v").isNotNull())
+    n, width = left.agg(F.count("*"), F.max(F.size("q"))).first()
+    out = T.StructType([T.StructField("a_id", left.schema["a_id"].dataType), T.StructField("b_id", right.schema["id"].dataType), T.StructField("distance", T.DoubleType())])
+    return _met(right, left, n * (width or 0), held_values, out, lambda ids, m, batch: _all_of(ids, m, batch, metric))
 
 
 def row_top_k(matrix: DataFrame, k: int, row: str = "a_id", column: str = "b_id") -> DataFrame:

@@ -1,4 +1,4 @@
-"""Which physical path a search takes, decided above the DataFrame and without running a job."""
+"""Which physical path a search takes, decided above the DataFrame, by counts that the caller has."""
 
 from __future__ import annotations
 

@@ -8,13 +8,15 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import collection_queries
 from .config import QuantParams
 from .engine import _scratch
 from .functions import text as X
@@ -26,6 +28,12 @@ from .sources import jsonl, store
 from .streaming import mutations
 
 TOP = 10
+#: Batch searches ask with every row whose id this divides.
+EVERY = 50
+#: Recall that codes alone and inverted lists must have.
+FLOORS = {"sq8": 0.95, "pq": 0.55, "opq": 0.55, "ivf": 0.9}
+#: Benchmark items about, that a task holds at once.
+ITEMS = 1000
 Query = Callable[[SparkSession, str], DataFrame]
 METRIC_SQL = {
     "cosine": "1.0 - list_inner_product(q.embedding::DOUBLE[], e.embedding::DOUBLE[])",
@@ -64,48 +72,21 @@ def _knn_sql(metric: str, where: str = "true", top: int | None = TOP, order: str
     return f"SELECT e.vec_id, e.label, round({m}, 6) + 0.0 AS distance FROM embeddings e, (SELECT embedding FROM embeddings WHERE vec_id = 0) q WHERE {where} ORDER BY {m}, e.vec_id {limit}"
 
 
-def _queries20(spark: SparkSession, d: str) -> DataFrame:
-    return _t(spark, d, "embeddings").filter("vec_id < 20").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
-
-
-def _every_row(spark: SparkSession, d: str) -> DataFrame:
-    return _t(spark, d, "embeddings").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
+def _asked(spark: SparkSession, d: str) -> DataFrame:
+    """The query set of batch searches: every row whose id is divisible by EVERY, asked against all rows."""
+    return _t(spark, d, "embeddings").filter(f"vec_id % {EVERY} = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
 
 
 def _ranked(out: DataFrame) -> DataFrame:
     return out.select("query_id", "rank", F.col("id").alias("vec_id"), F.round("distance", 6).alias("distance"))
 
 
-def batch_knn_all(spark: SparkSession, d: str) -> DataFrame:
-    """Every row of embeddings as a query, as in the other queries that end in _all."""
-    return _ranked(search.batch_knn(_t(spark, d, "embeddings"), _every_row(spark, d), TOP, "cosine", **_E))
-
-
-def batch_knn_joined_all(spark: SparkSession, d: str) -> DataFrame:
-    return _ranked(search.batch_knn(_t(spark, d, "embeddings"), _every_row(spark, d), TOP, "euclidean", held_values=0, **_E))
-
-
-def _whole_matrix(spark: SparkSession, d: str, metric: str) -> DataFrame:
-    e = _t(spark, d, "embeddings")
-    return search.distance_matrix(e, e, metric, "vec_id", "vec_id", "embedding", "embedding")
-
-
-def distance_matrix_all(spark: SparkSession, d: str) -> DataFrame:
-    return _whole_matrix(spark, d, "euclidean").select("a_id", "b_id", F.round("distance", 6).alias("distance"))
-
-
-def row_top_k_all(spark: SparkSession, d: str) -> DataFrame:
-    return search.row_top_k(_whole_matrix(spark, d, "dot_product"), 5).select("a_id", "rank", "b_id", F.round("distance", 6).alias("distance"))
-
-
 def batch_knn(spark: SparkSession, d: str) -> DataFrame:
-    out = search.batch_knn(_t(spark, d, "embeddings"), _queries20(spark, d), TOP, "cosine", **_E)
-    return out.select("query_id", "rank", F.col("id").alias("vec_id"), F.round("distance", 6).alias("distance"))
+    return _ranked(search.batch_knn(_t(spark, d, "embeddings"), _asked(spark, d), TOP, "cosine", **_E))
 
 
 def batch_knn_joined(spark: SparkSession, d: str) -> DataFrame:
-    out = search.batch_knn(_t(spark, d, "embeddings"), _queries20(spark, d), TOP, "euclidean", held_values=0, **_E)
-    return out.select("query_id", "rank", F.col("id").alias("vec_id"), F.round("distance", 6).alias("distance"))
+    return _ranked(search.batch_knn(_t(spark, d, "embeddings"), _asked(spark, d), TOP, "euclidean", held_values=0, **_E))
 
 
 def _batch_sql(metric: str) -> str:
@@ -113,31 +94,35 @@ def _batch_sql(metric: str) -> str:
     return f"""
 SELECT query_id, rank::INTEGER AS rank, vec_id, round(dist, 6) + 0.0 AS distance FROM (
   SELECT q.vec_id AS query_id, e.vec_id, {m} AS dist, row_number() OVER (PARTITION BY q.vec_id ORDER BY {m}, e.vec_id) AS rank
-  FROM embeddings e, (SELECT * FROM embeddings WHERE vec_id < 20) q) WHERE rank <= {TOP}"""
+  FROM embeddings e, (SELECT * FROM embeddings WHERE vec_id % {EVERY} = 0) q) WHERE rank <= {TOP}"""
 
 
-def distance_matrix(spark: SparkSession, d: str) -> DataFrame:
+def _matrix(spark: SparkSession, d: str, metric: str) -> DataFrame:
     e = _t(spark, d, "embeddings")
-    out = search.distance_matrix(e.filter("vec_id < 20"), e, "euclidean", "vec_id", "vec_id", "embedding", "embedding")
-    return out.select("a_id", "b_id", F.round("distance", 6).alias("distance"))
+    return search.distance_matrix(e.filter(f"vec_id % {EVERY} = 0"), e, metric, "vec_id", "vec_id", "embedding", "embedding")
+
+
+def distance_matrix(spark: SparkSession, d: str) -> DataFrame:
+    return _matrix(spark, d, "euclidean").select("a_id", "b_id", F.round("distance", 6).alias("distance"))
 
 
 def row_top_k(spark: SparkSession, d: str) -> DataFrame:
-    e = _t(spark, d, "embeddings")
-    out = search.row_top_k(search.distance_matrix(e.filter("vec_id < 20"), e, "dot_product", "vec_id", "vec_id", "embedding", "embedding"), 5)
-    return out.select("a_id", "rank", "b_id", F.round("distance", 6).alias("distance"))
+    return search.row_top_k(_matrix(spark, d, "dot_product"), 5).select("a_id", "rank", "b_id", F.round("distance", 6).alias("distance"))
 
 
 def rank_by_label(spark: SparkSession, d: str) -> DataFrame:
+    """The 50 nearest, sorted again by their label; 50 is the feature."""
     hits = search.exact_knn(_t(spark, d, "embeddings"), _vector(spark, d), 50, "cosine", **_E)
-    w = Window.orderBy("label", "d", "vec_id")
-    return hits.select(*_HIT, F.col("distance").alias("d")).withColumn("position", F.row_number().over(w)).select("position", *_HIT, F.round("d", 6).alias("distance"))
+    ranked = search.rank_by(hits, F.col("label"), id="vec_id").select(*_HIT, "distance").collect()
+    rows = [(i, r.vec_id, r.label, r.distance) for i, r in enumerate(ranked, 1)]
+    return _rounded(spark.createDataFrame(rows, "position int, vec_id long, label int, distance double"), "position", *_HIT)
 
 
 def vql_seek(spark: SparkSession, d: str) -> DataFrame:
     s = ql.parse("seek in embeddings nearest $q top 10 where label in [1, 2, 3] and not (label = 2) project label yield")
     q = ql.resolve(s.query, {"q": _vector(spark, d)})
-    return _rounded(search.exact_knn(_t(spark, d, s.vault), q, ql.top_of(s), "cosine", s.where, s.threshold, **_E), *_HIT)
+    hits = search.exact_knn(_t(spark, d, s.vault), q, ql.top_of(s), "cosine", s.where, s.threshold, **_E)
+    return _rounded(hits, "vec_id", *s.fields)
 
 
 def vql_scan(spark: SparkSession, d: str) -> DataFrame:
@@ -171,9 +156,11 @@ def pull_keys(spark: SparkSession, d: str) -> DataFrame:
     return got.groupBy("doc_id", "lang").agg(F.count("*").alias("times"))
 
 
+TABLES = tuple("region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split())
+
+
 def collection_stats(spark: SparkSession, d: str) -> DataFrame:
-    names = ("documents", "embeddings", "pages", "benchmark", "conversations")
-    parts = [_t(spark, d, n).agg(F.count("*").alias("records")).select(F.lit(n).alias("vault"), "records") for n in names]
+    parts = [_t(spark, d, n).agg(F.count("*").alias("records")).select(F.lit(n).alias("vault"), "records") for n in TABLES]
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
@@ -191,22 +178,21 @@ def tokenize_docs(spark: SparkSession, d: str) -> DataFrame:
 
 
 def lexical_overlap(spark: SparkSession, d: str) -> DataFrame:
-    """Each document against every benchmark item of the first five; the items are a fixed handful."""
-    b = F.broadcast(_t(spark, d, "benchmark").filter("item_id < 5").select("item_id", F.array_distinct(X.tokens(F.col("text"))).alias("q")))
+    """Each document against every benchmark item, in blocks of items that tasks can hold."""
     docs = _t(spark, d, "documents").select("doc_id", F.array_distinct(X.tokens(F.col("text"))).alias("t"))
-    score = F.coalesce(F.when((F.size("q") > 0) & (F.size("t") > 0), F.size(F.array_intersect("q", "t")) / F.size("q")), F.lit(0.0))
-    return docs.crossJoin(b).select("doc_id", "item_id", F.round(score, 6).alias("score"))
+    items = _t(spark, d, "benchmark").select("item_id", F.coalesce(F.array_distinct(X.tokens(F.col("text"))), F.array().cast("array<string>")).alias("q"))
+    blocks = max(1, -(-items.count() // ITEMS))
+    parts = [_overlaps(docs, items.filter(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == i).collect()) for i in range(blocks)]
+    return reduce(DataFrame.unionByName, parts)
 
 
-def lexical_overlap_all(spark: SparkSession, d: str) -> DataFrame:
-    """Each document against every benchmark item, which the tasks hold as a matrix of tokens and items."""
-    docs = _t(spark, d, "documents").select("doc_id", F.array_distinct(X.tokens(F.col("text"))).alias("t"))
-    rows = _t(spark, d, "benchmark").select("item_id", F.coalesce(F.array_distinct(X.tokens(F.col("text"))), F.array().cast("array<string>")).alias("q")).collect()
+def _overlaps(docs: DataFrame, rows: list) -> DataFrame:
+    """Scores of documents (doc_id, t) with a block of items, which the tasks hold as a matrix of tokens and items."""
     at = {t: i for i, t in enumerate(sorted({t for r in rows for t in r[1]}))}
     has = np.zeros((len(at) + 1, len(rows)), np.float32)
     for j, r in enumerate(rows):
         has[[at[t] for t in r[1]], j] = 1
-    held = spark.sparkContext.broadcast((pa.array([r[0] for r in rows], pa.int64()), pa.array(list(at), pa.string()), has))
+    held = docs.sparkSession.sparkContext.broadcast((pa.array([r[0] for r in rows], pa.int64()), pa.array(list(at), pa.string()), has))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         items, words, has = held.value
@@ -229,8 +215,8 @@ _TOKENS_SQL = "list_filter(list_transform(regexp_split_to_array({}, '[^A-Za-z0-9
 
 
 def hybrid_search(spark: SparkSession, d: str) -> DataFrame:
-    """Documents with the vector of the same number; text of benchmark item 0 as the query."""
-    e = _t(spark, d, "embeddings").join(_t(spark, d, "documents").withColumnRenamed("doc_id", "vec_id"), "vec_id")
+    """All vectors, with the document of the same number where there is one; text of benchmark item 0 as the query."""
+    e = _t(spark, d, "embeddings").join(_t(spark, d, "documents").withColumnRenamed("doc_id", "vec_id"), "vec_id", "left")
     text = _t(spark, d, "benchmark").filter("item_id = 0").first()["text"]
     return _rounded(search.hybrid(e, _vector(spark, d), text, 0.3, TOP, "cosine", document=F.col("text"), **_E), "vec_id")
 
@@ -303,8 +289,8 @@ def _codec_knn(codec: str) -> Query:
 
 
 def recall_at_10(spark: SparkSession, d: str) -> DataFrame:
-    """Recall of codes and of inverted lists against exact search, every row being a query."""
-    e, queries = _t(spark, d, "embeddings"), _every_row(spark, d)
+    """Recall of codes and of inverted lists against exact search, over the query set of batch searches."""
+    e, queries = _t(spark, d, "embeddings"), _asked(spark, d)
     truth = search.batch_knn(e, queries, TOP, "cosine", **_E).persist()
     held = [(r[0], np.array(r[1])) for r in queries.collect()]
     out = []
@@ -321,6 +307,11 @@ def recall_at_10(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("method", F.round("recall", 4).alias("recall"))
 
 
+def recall_floors(spark: SparkSession, d: str) -> DataFrame:
+    """Whether codes alone, and lists at the default probes, find what they should of the ten nearest."""
+    return recall_at_10(spark, d).select("method", (F.col("recall") >= F.element_at(F.create_map(*[F.lit(x) for m, r in FLOORS.items() for x in (m, r)]), F.col("method"))).alias("reached"))
+
+
 def _ivf(spark: SparkSession, d: str, metric: str = "cosine") -> tuple[DataFrame, ivf.Ivf]:
     e = _t(spark, d, "embeddings")
     index = ivf.train(e, ivf.lists_for(e.count()), metric, "embedding", "vec_id")
@@ -335,15 +326,10 @@ def ivf_flat_knn(spark: SparkSession, d: str) -> DataFrame:
 
 def ivf_batch(spark: SparkSession, d: str) -> DataFrame:
     rows, index = _ivf(spark, d)
-    out = ivf.batch_search(rows, index, _queries20(spark, d), TOP, len(index.centroids), "embedding", "vec_id")
+    out = ivf.batch_search(rows, index, _asked(spark, d), TOP, len(index.centroids), "embedding", "vec_id")
     return out.select("query_id", "rank", F.col("id").alias("vec_id"), F.round("distance", 6).alias("distance"))
 
 
-def ivf_batch_all(spark: SparkSession, d: str) -> DataFrame:
-    rows, index = _ivf(spark, d)
-    return _ranked(ivf.batch_search(rows, index, _every_row(spark, d), TOP, len(index.centroids), "embedding", "vec_id"))
-
-
 def ivf_filled(spark: SparkSession, d: str) -> DataFrame:
     """A selective filter: the search widens until it has ten rows or has read all lists."""
     rows, index = _ivf(spark, d)
@@ -411,16 +397,11 @@ def queries() -> dict[str, Query]:
         "knn_filtered_label": _knn("cosine", f("label", "=", 3)),
         "knn_in_set": _knn("euclidean", Filter.in_set("label", [1, 5, 7.0])),
         "knn_not_label": _knn("cosine", Filter.not_(f("label", "=", 0))),
-        "range_threshold": _knn("cosine", None, 0.8, search.RANGE_TOP),
+        "range_threshold": _knn("cosine", None, 0.8, None),
         "batch_knn_20q": batch_knn,
         "batch_knn_joined": batch_knn_joined,
         "distance_matrix": distance_matrix,
         "row_top_k": row_top_k,
-        "batch_knn_all": batch_knn_all,
-        "batch_knn_joined_all": batch_knn_joined_all,
-        "distance_matrix_all": distance_matrix_all,
-        "row_top_k_all": row_top_k_all,
-        "ivf_batch_all": ivf_batch_all,
         "rank_by_label": rank_by_label,
         "vql_seek": vql_seek,
         "vql_scan": vql_scan,
@@ -434,7 +415,6 @@ def queries() -> dict[str, Query]:
         "tokenize_docs": tokenize_docs,
         "lexical_overlap": lexical_overlap,
         "hybrid_search": hybrid_search,
-        "lexical_overlap_all": lexical_overlap_all,
         "hybrid_search_all": hybrid_search_all,
         "text_search": text_search,
         "sq8_encode": sq8_encode,
@@ -442,6 +422,7 @@ def queries() -> dict[str, Query]:
         "pq_knn": _codec_knn("pq"),
         "opq_knn": _codec_knn("opq"),
         "recall_at_10": recall_at_10,
+        "recall_floors": recall_floors,
         "ivf_flat_knn": ivf_flat_knn,
         "ivf_batch": ivf_batch,
         "ivf_filled": ivf_filled,
@@ -453,7 +434,7 @@ def queries() -> dict[str, Query]:
         "jsonl_roundtrip": jsonl_roundtrip,
         "windowed_events": windowed_events,
         "embedder_vectors": embedder_vectors,
-    }
+    } | collection_queries.queries()
 
 
 def oracle_sql() -> dict[str, str]:
@@ -468,11 +449,11 @@ def oracle_sql() -> dict[str, str]:
         "knn_filtered_label": _knn_sql("cosine", "e.label = 3"),
         "knn_in_set": _knn_sql("euclidean", "e.label IN (1, 5, 7)"),
         "knn_not_label": _knn_sql("cosine", "NOT coalesce(e.label = 0, false)"),
-        "range_threshold": _knn_sql("cosine", f"{c} <= 0.8", search.RANGE_TOP),
+        "range_threshold": _knn_sql("cosine", f"{c} <= 0.8", None),
         "batch_knn_20q": _batch_sql("cosine"),
         "batch_knn_joined": _batch_sql("euclidean"),
-        "distance_matrix": f"SELECT q.vec_id AS a_id, e.vec_id AS b_id, round({METRIC_SQL['euclidean']}, 6) + 0.0 AS distance FROM embeddings e, (SELECT * FROM embeddings WHERE vec_id < 20) q",
-        "row_top_k": f"SELECT a_id, rank::INTEGER AS rank, b_id, round(dist, 6) + 0.0 AS distance FROM (SELECT q.vec_id AS a_id, e.vec_id AS b_id, {METRIC_SQL['dot_product']} AS dist, row_number() OVER (PARTITION BY q.vec_id ORDER BY {METRIC_SQL['dot_product']}, e.vec_id) AS rank FROM embeddings e, (SELECT * FROM embeddings WHERE vec_id < 20) q) WHERE rank <= 5",
+        "distance_matrix": f"SELECT q.vec_id AS a_id, e.vec_id AS b_id, round({METRIC_SQL['euclidean']}, 6) + 0.0 AS distance FROM embeddings e, (SELECT * FROM embeddings WHERE vec_id % {EVERY} = 0) q",
+        "row_top_k": f"SELECT a_id, rank::INTEGER AS rank, b_id, round(dist, 6) + 0.0 AS distance FROM (SELECT q.vec_id AS a_id, e.vec_id AS b_id, {METRIC_SQL['dot_product']} AS dist, row_number() OVER (PARTITION BY q.vec_id ORDER BY {METRIC_SQL['dot_product']}, e.vec_id) AS rank FROM embeddings e, (SELECT * FROM embeddings WHERE vec_id % {EVERY} = 0) q) WHERE rank <= 5",
         "rank_by_label": f"SELECT row_number() OVER (ORDER BY label, dist, vec_id)::INTEGER AS position, vec_id, label, round(dist, 6) + 0.0 AS distance FROM (SELECT e.vec_id, e.label, {c} AS dist FROM embeddings e, (SELECT embedding FROM embeddings WHERE vec_id = 0) q ORDER BY dist, e.vec_id LIMIT 50)",
         "vql_seek": _knn_sql("cosine", "e.label IN (1, 3)"),
         "vql_scan": "SELECT doc_id, lang, n_chars FROM documents WHERE lang = 'en' AND n_chars >= 500 ORDER BY doc_id LIMIT 50 OFFSET 5",
@@ -481,13 +462,14 @@ def oracle_sql() -> dict[str, str]:
         "scan_not_missing": "SELECT doc_id, lang, toxic FROM documents LEFT JOIN labels USING (doc_id) WHERE NOT coalesce(toxic = 1, false) AND lang <> 'en'",
         "filter_tree": "SELECT l_returnflag, count(*) AS n FROM lineitem WHERE l_quantity >= 20 AND l_quantity < 40.5 AND l_returnflag IN ('A', 'R') AND l_discount > 0.05::DOUBLE GROUP BY 1",
         "pull_keys": "SELECT doc_id, lang, CASE WHEN doc_id = 5 THEN 2 ELSE 1 END::BIGINT AS times FROM documents WHERE doc_id IN (3, 5, 8)",
-        "collection_stats": " UNION ALL ".join(f"SELECT '{n}' AS vault, count(*) AS records FROM {n}" for n in ("documents", "embeddings", "pages", "benchmark", "conversations")),
+        "collection_stats": " UNION ALL ".join(f"SELECT '{n}' AS vault, count(*) AS records FROM {n}" for n in TABLES),
         "normalize_magnitude": "WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE * 3) AS v FROM embeddings), m AS (SELECT *, sqrt(list_inner_product(v, v)) AS n FROM v) SELECT vec_id, round(n, 6) AS magnitude, round(sqrt(list_inner_product(list_transform(v, lambda x: x / n), list_transform(v, lambda x: x / n))), 6) AS unit, true AS finite FROM m",
         "tokenize_docs": f"SELECT doc_id, len({tok('text')})::BIGINT AS n_tokens, len(list_distinct({tok('text')}))::BIGINT AS n_distinct FROM documents",
-        "lexical_overlap": f"WITH b AS (SELECT item_id, list_distinct({tok('text')}) AS q FROM benchmark WHERE item_id < 5), d AS (SELECT doc_id, list_distinct({tok('text')}) AS t FROM documents) SELECT doc_id, item_id, round({overlap}, 6) AS score FROM d, b",
-        "hybrid_search": f"WITH b AS (SELECT list_distinct({tok('text')}) AS q FROM benchmark WHERE item_id = 0), n AS (SELECT e.vec_id, {c} AS dist, list_distinct({tok('t.text')}) AS t FROM embeddings e JOIN documents t ON t.doc_id = e.vec_id, (SELECT embedding FROM embeddings WHERE vec_id = 0) q ORDER BY dist, e.vec_id LIMIT {5 * TOP}), f AS (SELECT vec_id, 0.7::DOUBLE * dist + 0.3::DOUBLE * (1.0 - {overlap.replace('d.t', 'n.t')}) AS dist FROM n, b) SELECT vec_id, round(dist, 6) + 0.0 AS distance FROM f ORDER BY dist, vec_id LIMIT {TOP}",
+        "lexical_overlap": f"WITH b AS (SELECT item_id, list_distinct({tok('text')}) AS q FROM benchmark), d AS (SELECT doc_id, list_distinct({tok('text')}) AS t FROM documents) SELECT doc_id, item_id, round({overlap}, 6) AS score FROM d, b",
+        "hybrid_search": f"WITH b AS (SELECT list_distinct({tok('text')}) AS q FROM benchmark WHERE item_id = 0), n AS (SELECT e.vec_id, {c} AS dist, list_distinct({tok('t.text')}) AS t FROM embeddings e LEFT JOIN documents t ON t.doc_id = e.vec_id, (SELECT embedding FROM embeddings WHERE vec_id = 0) q ORDER BY dist, e.vec_id LIMIT {5 * TOP}), f AS (SELECT vec_id, 0.7::DOUBLE * dist + 0.3::DOUBLE * (1.0 - {overlap.replace('d.t', 'n.t')}) AS dist FROM n, b) SELECT vec_id, round(dist, 6) + 0.0 AS distance FROM f ORDER BY dist, vec_id LIMIT {TOP}",
         "sq8_encode": SQ8_SQL,
         "sq8_knn": SQ8_KNN_SQL,
+        "recall_floors": "SELECT * FROM (VALUES " + ", ".join(f"('{m}', true)" for m in FLOORS) + ") t(method, reached)",
         "ivf_flat_knn": _knn_sql("cosine"),
         "ivf_batch": _batch_sql("cosine"),
         "upsert_latest": f"SELECT user_id, event_id, event_type, value FROM ({latest})",
@@ -496,4 +478,4 @@ def oracle_sql() -> dict[str, str]:
         "centroid_by_label": "SELECT label, (i - 1)::INTEGER AS \"at\", round(avg(x::DOUBLE), 6) + 0.0 AS mean FROM (SELECT label, unnest(embedding) AS x, generate_subscripts(embedding, 1) AS i FROM embeddings) GROUP BY 1, 2",
         "jsonl_roundtrip": "SELECT doc_id, text, lang, n_chars FROM documents",
         "windowed_events": "SELECT time_bucket(INTERVAL '1 hour', ts) AS window_start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2",
-    }
+    } | collection_queries.oracle_sql(_knn_sql("cosine"), SQ8_KNN_SQL)

@@ -12,7 +12,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..types import CHUNK, DOCUMENT, LINEAGE, META, meta_dict, meta_row
 
-INPUT = T.StructType([T.StructField("id", T.StringType()), T.StructField("vector", T.ArrayType(T.FloatType(), False)), T.StructField("meta", META), T.StructField("document", DOCUMENT), T.StructField("chunk", CHUNK), T.StructField("lineage", LINEAGE)])
+INPUT = T.StructType([T.StructField("id", T.StringType()), T.StructField("vector", T.ArrayType(T.FloatType())), T.StructField("meta", META), T.StructField("document", DOCUMENT), T.StructField("chunk", CHUNK), T.StructField("lineage", LINEAGE)])
 
 
 def write_jsonl(records: DataFrame, path: str) -> None:

@@ -49,6 +49,7 @@ class Store:
 
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root, self.files = spark, root.rstrip("/"), Files(spark, root)
+        self._entries: dict[int, dict] = {}
 
     def manifest(self) -> Manifest | None:
         """The newest manifest, None if there is no database here yet."""
@@ -63,7 +64,8 @@ class Store:
     def entries(self, m: Manifest) -> list[tuple[int, dict]]:
         """Published log entries that the manifest's segments don't have yet."""
         numbers = sorted(int(n[:-5]) for n in self.files.names("log") if n.endswith(".json"))
-        return [(n, json.loads(self.files.read(f"log/{n:012d}.json"))) for n in numbers if n >= m.log_from]
+        self._entries = {n: self._entries.get(n) or json.loads(self.files.read(f"log/{n:012d}.json")) for n in numbers if n >= m.log_from}
+        return list(self._entries.items())
 
     def commit(self, m: Manifest, rows: DataFrame, collections: list[str], expected: int | None = None) -> int:
         """Append log rows (the schema LOG, without caring for ``at``'s start) and publish them."""
@@ -77,12 +79,13 @@ class Store:
         return seq
 
     def log(self, m: Manifest) -> DataFrame | None:
-        """All pending mutations, with the sequence number of their commit."""
-        parts = [self.spark.read.schema(LOG).parquet(f"{self.root}/{e['folder']}").withColumn("seq", F.lit(n).cast("long")) for n, e in self.entries(m)]
-        out = None
-        for p in parts:
-            out = p if out is None else out.unionByName(p)
-        return out
+        """All pending mutations, with the sequence number of their commit; one scan, however many commits."""
+        folders = [e["folder"] for _, e in self.entries(m)]
+        return read_commits(self.spark, self.root, folders) if folders else None
+
+    def pending(self, m: Manifest, collection: str) -> int:
+        """How many published commits that no segment has yet touch a collection."""
+        return sum(collection in e["collections"] for _, e in self.entries(m))
 
     def records(self, m: Manifest, collection: str, log: DataFrame | None = None) -> DataFrame:
         """Live records of a collection: its segment with the log's latest mutations over it."""
@@ -112,7 +115,8 @@ class Store:
             by_list = bool(extra.get("lists") or infos.get(c, {}).get("lists"))
             writer = (rows.repartition("list_id") if by_list else rows).write
             (writer.partitionBy("list_id") if by_list else writer).parquet(f"{self.root}/{segment}")
-            infos[c] = {**infos.get(c, {}), **extra, "segment": segment}
+            n = self.spark.read.schema(RECORD).parquet(f"{self.root}/{segment}").count()
+            infos[c] = {**infos.get(c, {}), **extra, "segment": segment, "rows": n}
         out = self.publish(Manifest(m.number, m.config, upto, infos, m.embedder))
         return out
 
@@ -127,6 +131,12 @@ class Store:
         return len(gone)
 
 
+def read_commits(spark: SparkSession, root: str, folders: list[str]) -> DataFrame:
+    """Log rows of published commits, with the sequence number that the folder's name has."""
+    rows = spark.read.schema(LOG).parquet(*[f"{root}/{f}" for f in folders])
+    return rows.select("*", F.regexp_extract(F.col("_metadata.file_path"), r"/log/(\d+)-", 1).cast("long").alias("seq"))
+
+
 def latest(log: DataFrame, key: list[str], order: list[str]) -> DataFrame:
     """The last row of each key, by these columns."""
     w = Window.partitionBy(*key).orderBy(*[F.col(c).desc() for c in order])

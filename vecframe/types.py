@@ -17,7 +17,7 @@ CHUNK = T.StructType([T.StructField("document_key", T.StringType())] + [T.Struct
 LINEAGE = T.StructType([T.StructField(n, T.StringType()) for n in ("provider", "model", "revision")] + [T.StructField("attributes", META)])
 RECORD = T.StructType([
     T.StructField("id", T.StringType(), False),
-    T.StructField("vector", T.ArrayType(T.FloatType(), False)),
+    T.StructField("vector", T.ArrayType(T.FloatType())),
     T.StructField("meta", META),
     T.StructField("document", DOCUMENT),
     T.StructField("chunk", CHUNK),
