@@ -54,6 +54,7 @@ def test_same_as_brute_force_on_trees(spark):
     for host, t in trees:
         count.update((host, p) for p in set(all_parts(t)))
     got = {r.page_id: r for r in h.extract_text(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert got == {r.page_id: r for r in h.extract_text(spark.createDataFrame(rows, SCHEMA), held=0).collect()}
     for i, (host, t) in enumerate(trees):
         bad = {p for (x, p), n in count.items() if x == host and n >= max(h.MIN_PAGES, -(-size[x] * h.MIN_SHARE // 1))}
         want = "\n".join(x.strip() for x in words(t, bad).split("\n") if x.strip())

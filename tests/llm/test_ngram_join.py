@@ -132,6 +132,7 @@ def test_pairs_do_not_depend_on_the_block(spark, monkeypatch):
     for block in (1, 2, 7):
         assert as_dict(nj.similar_pairs(docs_of(spark, rows), block=block)) == want
     monkeypatch.setattr(nj, "BLOCK_GRAMS", 300)
+    monkeypatch.setattr(nj, "FEW", 0)
     assert as_dict(nj.similar_pairs(docs_of(spark, rows))) == want
 
 
@@ -194,6 +195,18 @@ def test_prefixes_are_as_short_as_the_recall_needs():
         nj.shortest(0.1, 2, 0.99)
 
 
+def test_few_documents_are_compared_as_in_sorted_tries(monkeypatch):
+    rng = np.random.default_rng(4)
+    base = rng.integers(0, 1 << 62, 300, dtype=np.uint64)
+    sets = [np.unique(np.append(base[: rng.integers(150, 300)], rng.integers(0, 1 << 62, rng.integers(1, 90), dtype=np.uint64))) for _ in range(12)]
+    tries = np.array([int(rng.integers(1 << 40)) for _ in sets])
+    tries[:] = tries[0]
+    few = [list(nj.similar(sets, 0.5, nj.TREES, nj.RECALL, t, s)) for t in (None, tries) for s in (None, np.arange(12) % 2)]
+    monkeypatch.setattr(nj, "FEW", 0)
+    assert few == [list(nj.similar(sets, 0.5, nj.TREES, nj.RECALL, t, s)) for t in (None, tries) for s in (None, np.arange(12) % 2)]
+    assert len(few[0]) > len(few[3]) > 0
+
+
 @pytest.mark.parametrize("link", [0.52, 0.55, 0.6, 0.65])
 def test_close_partners_do_not_hide_links_near_the_threshold(link):
     rng = np.random.default_rng(7)

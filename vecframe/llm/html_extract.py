@@ -23,6 +23,7 @@ from .common import forget, fresh, map_arrow, name, small, written
 #: share of the host's different pages, however many those are.
 MIN_PAGES = 5
 MIN_SHARE = 0.05
+HELD = 500_000
 
 _TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^<>"']|"[^"]*"|'[^']*')*)/?>""", re.S)
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -176,11 +177,12 @@ def templates(pages: DataFrame, url: str = "url", html: str = "html", min_pages:
     return counts.join(size, "host").filter(F.col("c") >= least).select("host", "subtree")
 
 
-def extract_text(pages: DataFrame, url: str = "url", html: str = "html", out: str = "text", count: str = "n_removed", min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE) -> DataFrame:
+def extract_text(pages: DataFrame, url: str = "url", html: str = "html", out: str = "text", count: str = "n_removed", min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE, held: int = HELD) -> DataFrame:
     """``pages`` with the text outside template subtrees in place of the html.
 
     Pages without a host are a site of their own, "". Copies of a page count as one page of
-    their host, so what only they share is no template. A null html gives a null text with 0
+    their host, so what only they share is no template. Up to ``held`` template hashes are
+    sent to every task once, more are joined by host, with the same result. A null html gives a null text with 0
     subtrees removed, an empty one an empty text. Every row stays, repeated ones too. A new
     column whose name is taken gets a leading underscore.
     """
@@ -189,13 +191,19 @@ def extract_text(pages: DataFrame, url: str = "url", html: str = "html", out: st
     per = written(templates(pages, url, html, min_pages, min_share).groupBy(F.col("host").alias(key)).agg(F.collect_list("subtree").alias(hashes)), "templates")
     total = per.agg(F.sum(F.size(hashes))).first()[0] or 0
     rows = pages.select(*map(name, rest), host_of(name(url)).alias(host), name(html).cast("binary").alias(raw_html))
-    rows = rows.join(small(per, total), F.col(host) == F.col(key), "left").select(*map(name, rest), host, hashes, raw_html)
+    sent = None
+    if total <= held:
+        sent = pages.sparkSession.sparkContext.broadcast({r[0]: frozenset(r[1]) for r in per.collect()})
+        forget(per)
+        rows = rows.select(*map(name, rest), host, F.lit(None).cast("array<long>").alias(hashes), raw_html)
+    else:
+        rows = rows.join(small(per, total), F.col(host) == F.col(key), "left").select(*map(name, rest), host, hashes, raw_html)
     k = len(rest)
     schema = rows.select(*map(name, rest), F.lit("").alias(text), F.lit(0).cast("long").alias(removed)).schema
     schema[text].nullable = True
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[str, frozenset[int]] = {}
+        known: dict[str, frozenset[int]] = dict(sent.value) if sent else {}
         for b in batches:
             texts, counts = [], []
             for i, (h, raw) in enumerate(zip(b.column(k).to_pylist(), b.column(k + 2))):
@@ -204,11 +212,11 @@ def extract_text(pages: DataFrame, url: str = "url", html: str = "html", out: st
                     texts.append(None)
                     counts.append(0)
                     continue
-                if h not in known:
+                if sent is None and h not in known:
                     if len(known) > 1000:
                         known.clear()
                     known[h] = frozenset(b.column(k + 1)[i].as_py() or ())
-                t, n = extract(raw.decode("utf-8", "replace"), known[h])
+                t, n = extract(raw.decode("utf-8", "replace"), known.get(h, frozenset()))
                 texts.append(t)
                 counts.append(n)
             yield pa.RecordBatch.from_arrays([*b.columns[:k], pa.array(texts, pa.string()), pa.array(counts, pa.int64())], names=[*rest, text, removed])

@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import forget, fresh, name, small, written
+from .common import forget, fresh, name, releasing, small, written
 
 N = 3
 #: Documents that share half of their n-grams are near copies; 40 tries are the fewest with
@@ -45,6 +45,8 @@ DEEPEST = 8
 RECALL = 0.92
 BLOCK = 2000
 BLOCK_GRAMS = 4 << 20
+#: In cells of so few documents, prefixes are compared pair by pair instead of in sorted tries.
+FEW = 12
 SEED = 17
 _M1, _M2, _M3 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
 _MIX1, _MIX2, _HALF = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53), np.uint64(33)
@@ -139,9 +141,8 @@ def shortest(threshold: float, trees: int, recall: float) -> int:
     return fits[-1]
 
 
-def _sorted_tries(sets: list[np.ndarray], trees: int) -> list[tuple[np.ndarray, np.ndarray]]:
+def _sorted_tries(sigs: np.ndarray, trees: int) -> list[tuple[np.ndarray, np.ndarray]]:
     """Of each trie the rows in the order of their signatures, and how long a prefix each shares with the next."""
-    sigs = np.stack([signature(g, trees, DEEPEST) for g in sets])
     out = []
     for t in range(trees):
         s = sigs[:, :, t]
@@ -167,14 +168,24 @@ def similar(sets: list[np.ndarray], threshold: float, trees: int, recall: float,
     """
     m = len(sets)
     depth = shortest(threshold, trees, recall)
-    sorted_tries = _sorted_tries(sets, trees)
-    seen, left = np.zeros((m, m), bool), np.zeros((m, m), bool)
-    for t, trie in enumerate(sorted_tries):
-        for rows in _together(*trie, depth):
-            at = np.ix_(rows, rows)
-            if tries is None or int(tries[rows[0]]) >> t & 1:
-                left[at] |= ~seen[at]
-            seen[at] = True
+    sigs = np.stack([signature(g, trees, DEEPEST) for g in sets])
+    if m <= FEW:
+        # each pair's shared prefix in each trie, without sorting
+        prefix = np.cumprod(sigs[:, None] == sigs[None], axis=2, dtype=np.int8).sum(2, dtype=np.int8)
+        here = prefix >= depth
+        left = here.any(2)
+        if tries is not None:
+            left &= (tries[:, None] >> here.argmax(2) & 1).astype(bool)
+        longest = prefix.max(2)
+    else:
+        sorted_tries, longest = _sorted_tries(sigs, trees), None
+        seen, left = np.zeros((m, m), bool), np.zeros((m, m), bool)
+        for t, trie in enumerate(sorted_tries):
+            for rows in _together(*trie, depth):
+                at = np.ix_(rows, rows)
+                if tries is None or int(tries[rows[0]]) >> t & 1:
+                    left[at] |= ~seen[at]
+                seen[at] = True
     left &= np.triu(np.ones((m, m), bool), 1)
     if side is not None:
         left &= side[:, None] != side[None, :]
@@ -186,10 +197,13 @@ def similar(sets: list[np.ndarray], threshold: float, trees: int, recall: float,
     for d in range(DEEPEST, depth - 1, -1):
         if not left.any():
             break
-        meet = np.zeros((m, m), bool)
-        for trie in sorted_tries:
-            for rows in _together(*trie, d):
-                meet[np.ix_(rows, rows)] = True
+        if longest is not None:
+            meet = longest >= d
+        else:
+            meet = np.zeros((m, m), bool)
+            for trie in sorted_tries:
+                for rows in _together(*trie, d):
+                    meet[np.ix_(rows, rows)] = True
         meet &= left
         left &= ~meet
         for i in np.flatnonzero(meet.any(1)).tolist():
@@ -231,7 +245,7 @@ def _sketches(docs: DataFrame, doc_id: str, text: str, n: int, trees: int, depth
             yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(keep, pa.int64())), pa.array(digests, pa.binary()), pa.array(sizes, pa.int64()), lists], names=["id", "digest", "size", "keys"])
 
     rows = docs.filter(name(doc_id).isNotNull() & name(text).isNotNull()).select(name(doc_id).alias("id"), name(text).cast("binary").alias("raw"))
-    return rows.mapInArrow(run, f"id {dict(rows.dtypes)['id']}, digest binary, size long, keys array<long>")
+    return rows.mapInArrow(releasing(run), f"id {dict(rows.dtypes)['id']}, digest binary, size long, keys array<long>")
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -328,7 +342,7 @@ def _forest(docs: DataFrame, threshold: float, n: int, trees: int, recall: float
         if len(rows) > 1:
             yield from flush()
 
-    return nodes, members, moved.mapInArrow(run, f"doc_a {kind}, doc_b {kind}, jaccard double" if every else f"at long, node {kind}, root {kind}, links long, jaccard double")
+    return nodes, members, moved.mapInArrow(releasing(run), f"doc_a {kind}, doc_b {kind}, jaccard double" if every else f"at long, node {kind}, root {kind}, links long, jaccard double")
 
 
 def _summary(pairs: list[tuple[int, int, float]], ids: tuple, copies: np.ndarray) -> tuple[np.ndarray, list[int], np.ndarray, np.ndarray]:
