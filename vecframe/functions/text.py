@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..errors import ConfigError
+from ..partitions import spread
 
 _SPLIT = "[^A-Za-z0-9]+"
 _M64 = (1 << 64) - 1
@@ -214,4 +215,5 @@ def embed_column(df: DataFrame, embedder, text: str = "text", out: str = "vector
         return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat), mask=pa.array(~there)) if len(there) else pa.array([], pa.list_(pa.float32()))
 
     run.__annotations__ = {"texts": pa.Array, "return": pa.Array}
-    return df.withColumn(out, F.arrow_udf(run, "array<float>")(F.col(text)))
+    # called non-deterministic so that no filter on the vectors embeds the texts once more
+    return spread(df).withColumn(out, F.arrow_udf(run, "array<float>").asNondeterministic()(F.col(text)))

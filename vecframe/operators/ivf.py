@@ -65,7 +65,7 @@ def assign(df: DataFrame, index: Ivf, vector: str = "vector", out: str = "list_i
         return pa.array([None if r is None else next(got) for r in rows], pa.int32())
 
     run.__annotations__ = {"v": pa.Array, "return": pa.Array}
-    return df.withColumn(out, F.arrow_udf(run, "int")(F.col(vector)))
+    return df.withColumn(out, F.arrow_udf(run, "int").asNondeterministic()(F.col(vector)))
 
 
 def nearest_lists(x: np.ndarray, index: Ivf) -> np.ndarray:
@@ -145,7 +145,7 @@ def encode_pq(df: DataFrame, index: IvfPq, vector: str = "vector") -> DataFrame:
         return pa.StructArray.from_arrays([pa.array(at.astype(np.int32)), pa.array([r.tobytes() for r in codes], pa.binary())], names=["l", "c"])
 
     run.__annotations__ = {"v": pa.Array, "return": pa.Array}
-    out = df.filter(F.col(vector).isNotNull()).withColumn("_lc", F.arrow_udf(run, "l int, c binary")(F.col(vector)))
+    out = df.filter(F.col(vector).isNotNull()).withColumn("_lc", F.arrow_udf(run, "l int, c binary").asNondeterministic()(F.col(vector)))
     return out.withColumns({"list_id": F.col("_lc.l"), "codes": F.col("_lc.c")}).drop("_lc")
 
 
@@ -164,5 +164,5 @@ def search_pq(df: DataFrame, index: IvfPq, query: Sequence[float], top: int, npr
         return pa.array(_block(x, q[None, :], ix.ivf.metric)[:, 0])
 
     rough.__annotations__ = {"lists": pa.Array, "codes": pa.Array, "return": pa.Array}
-    near = df.filter(F.col("list_id").isin(chosen)).withColumn("_rough", F.arrow_udf(rough, "double")(F.col("list_id"), F.col("codes"))).orderBy("_rough", id).limit(over * top).drop("_rough")
+    near = df.filter(F.col("list_id").isin(chosen)).withColumn("_rough", F.arrow_udf(rough, "double").asNondeterministic()(F.col("list_id"), F.col("codes"))).orderBy("_rough", id).limit(over * top).drop("_rough")
     return near.withColumn("distance", V.distance(metric, F.col(vector), list(query))).orderBy("distance", id).limit(top)

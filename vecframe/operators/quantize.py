@@ -182,7 +182,7 @@ def encode_column(df: DataFrame, q: Quantizer, vector: str = "vector", out: str
         return pa.array([None if r is None else next(codes).tobytes() for r in rows], pa.binary())
 
     run.__annotations__ = {"v": pa.Array, "return": pa.Array}
-    return df.withColumn(out, F.arrow_udf(run, "binary")(F.col(vector)))
+    return df.withColumn(out, F.arrow_udf(run, "binary").asNondeterministic()(F.col(vector)))
 
 
 def decode_column(df: DataFrame, q: Quantizer, codes: str = "codes", out: str = "vector") -> DataFrame:
@@ -195,7 +195,7 @@ def decode_column(df: DataFrame, q: Quantizer, codes: str = "codes", out: str =
         return pa.array([None if r is None else next(got) for r in rows], pa.list_(pa.float32()))
 
     run.__annotations__ = {"c": pa.Array, "return": pa.Array}
-    return df.withColumn(out, F.arrow_udf(run, "array<float>")(F.col(codes)))
+    return df.withColumn(out, F.arrow_udf(run, "array<float>").asNondeterministic()(F.col(codes)))
 
 
 def scored_codes(df: DataFrame, q: Quantizer, query, metric: str, codes: str = "codes") -> DataFrame:
@@ -210,7 +210,7 @@ def scored_codes(df: DataFrame, q: Quantizer, query, metric: str, codes: str = "
         return pa.array([None if r is None else next(got) for r in rows], pa.float64())
 
     run.__annotations__ = {"c": pa.Array, "return": pa.Array}
-    return df.withColumn("distance", F.arrow_udf(run, "double")(F.col(codes)))
+    return df.withColumn("distance", F.arrow_udf(run, "double").asNondeterministic()(F.col(codes)))
 
 
 def batch_codes_knn(df: DataFrame, q: Quantizer, queries: list[tuple[object, np.ndarray]], k: int, metric: str, id: str = "id", codes: str = "codes") -> DataFrame:

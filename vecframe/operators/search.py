@@ -57,7 +57,10 @@ def matching(df: DataFrame, where: Filter | None, binding: MetaBinding | ColumnB
 
 def scored(df: DataFrame, query: Sequence[float], metric: str, vector: str = "vector", normalize: bool = False) -> DataFrame:
     """``df`` with its distance to a query; ``normalize`` for cosine over vectors that aren't of unit length."""
-    v = V.normalize(F.col(vector)) if normalize and metric == "cosine" else F.col(vector)
+    v = F.col(vector)
+    if normalize and metric == "cosine":
+        n = V.magnitude(v)
+        return df.withColumn("distance", 1.0 - F.when(n == 0, F.lit(0.0)).otherwise(V.dot(v, list(query)) / n))
     return df.withColumn("distance", V.distance(metric, v, list(query)))
 
 
