@@ -17,7 +17,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import forget, fresh, map_arrow, name, small, written
+from ..partitions import spread
+from .common import forget, fresh, map_arrow, name, releasing, small, written
 
 #: A subtree is template if at least so many different pages of the host have it, and such a
 #: share of the host's different pages, however many those are.
@@ -173,7 +174,7 @@ def templates(pages: DataFrame, url: str = "url", html: str = "html", min_pages:
     rows = pages.filter(name(html).isNotNull()).select(host_of(name(url)).alias("host"), name(html).cast("binary").alias("raw"), F.xxhash64(name(html)).alias("page"))
     size = rows.select("host", "page").distinct().groupBy("host").agg(F.count("*").alias("n"))
     least = F.greatest(F.lit(min_pages), F.ceil(F.col("n") * min_share))
-    counts = rows.mapInArrow(run, "host string, page long, subtree long").distinct().groupBy("host", "subtree").agg(F.count("*").alias("c")).filter(F.col("c") >= min_pages)
+    counts = spread(rows).mapInArrow(releasing(run), "host string, page long, subtree long").distinct().groupBy("host", "subtree").agg(F.count("*").alias("c")).filter(F.col("c") >= min_pages)
     return counts.join(size, "host").filter(F.col("c") >= least).select("host", "subtree")
 
 

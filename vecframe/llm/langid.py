@@ -19,7 +19,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fresh, name
+from ..partitions import spread
+from .common import fresh, name, releasing
 
 BITS = 14
 SIZE = 1 << BITS
@@ -82,7 +83,7 @@ def document_frequencies(docs: DataFrame, text: str = "text") -> tuple[np.ndarra
         at = np.flatnonzero(df)
         yield pa.RecordBatch.from_arrays([pa.array(np.append(at, -1), pa.int32()), pa.array(np.append(df[at], n), pa.int64())], names=["bin", "n"])
 
-    rows = docs.filter(name(text).isNotNull()).select(name(text).cast("binary")).mapInArrow(run, "bin int, n long")
+    rows = spread(docs.filter(name(text).isNotNull()).select(name(text).cast("binary"))).mapInArrow(releasing(run), "bin int, n long")
     got = rows.groupBy("bin").agg(F.sum("n").alias("n")).toArrow()
     df = np.zeros(SIZE + 1, np.int64)
     df[got.column("bin").to_numpy()] = got.column("n").to_numpy()
@@ -158,7 +159,7 @@ def fit(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str =
             xs = [weighted(x.as_py(), floats) for x in b.column(3)]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array([a.tobytes() for a, _ in xs], pa.binary()), pa.array([x.astype(np.float32).tobytes() for _, x in xs], pa.binary())], names=["id", "lang", "h", "at", "x"])
 
-    t = got.mapInArrow(run, "id string, lang string, h long, at binary, x binary").dropDuplicates(["id", "lang", "h"]).toArrow().sort_by([("h", "ascending"), ("id", "ascending")]).to_pylist()
+    t = spread(got).mapInArrow(releasing(run), "id string, lang string, h long, at binary, x binary").dropDuplicates(["id", "lang", "h"]).toArrow().sort_by([("h", "ascending"), ("id", "ascending")]).to_pylist()
     rows = [(np.frombuffer(r["at"], np.int32), np.frombuffer(r["x"], np.float32).astype(np.float64), languages.index(r["lang"])) for r in t]
     held = rows[::5] if len(rows) >= 50 else []
     learnt = [r for i, r in enumerate(rows) if i % 5] if held else rows
@@ -189,7 +190,7 @@ def identify(docs: DataFrame, model: Model | None, text: str = "text", out: str
         return pa.StructArray.from_arrays([pa.array(names, pa.string()), pa.array(probs, pa.float64())], names=["l", "p"])
 
     run.__annotations__ = {"raws": pa.Array, "return": pa.Array}
-    found = docs.withColumn(both, F.arrow_udf(run, "l string, p double")(name(text).cast("binary")))
+    found = spread(docs).withColumn(both, F.arrow_udf(run, "l string, p double")(name(text).cast("binary")))
     return found.withColumns({a: F.col(f"{both}.l"), b: F.col(f"{both}.p")}).drop(both)
 
 

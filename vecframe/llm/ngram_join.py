@@ -34,6 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..partitions import spread
 from .common import forget, fresh, name, releasing, small, written
 
 N = 3
@@ -245,7 +246,7 @@ def _sketches(docs: DataFrame, doc_id: str, text: str, n: int, trees: int, depth
             yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(keep, pa.int64())), pa.array(digests, pa.binary()), pa.array(sizes, pa.int64()), lists], names=["id", "digest", "size", "keys"])
 
     rows = docs.filter(name(doc_id).isNotNull() & name(text).isNotNull()).select(name(doc_id).alias("id"), name(text).cast("binary").alias("raw"))
-    return rows.mapInArrow(releasing(run), f"id {dict(rows.dtypes)['id']}, digest binary, size long, keys array<long>")
+    return spread(rows).mapInArrow(releasing(run), f"id {dict(rows.dtypes)['id']}, digest binary, size long, keys array<long>")
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
