@@ -15,6 +15,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..partitions import spread
+
 #: Largest number of rows that a side may have for an explicit broadcast.
 BROADCAST_ROWS = 200_000
 
@@ -107,7 +109,7 @@ def name(column: str) -> Column:
 
 def map_arrow(df: DataFrame, run, schema) -> DataFrame:
     """``df.mapInArrow``, whatever the names of the columns are; ``run`` finds them by position."""
-    return df.toDF(*[f"c{i}" for i in range(len(df.columns))]).mapInArrow(releasing(run), schema)
+    return spread(df).toDF(*[f"c{i}" for i in range(len(df.columns))]).mapInArrow(releasing(run), schema)
 
 
 def release() -> None:
