@@ -223,3 +223,30 @@ def test_embedder_file_is_checked(spark, tmp_path):
     (path / ".embedder.json.crc").unlink()
     with pytest.raises(ConfigError), connect(str(path), spark=spark) as e:
         e.collection("c").probe_text("words").collect()
+
+
+def test_snapshots_are_checked(spark, tmp_path):
+    e = connect(str(tmp_path / "db"), spark=spark, dimension=2, metric="euclidean")
+    e.collection("a").write_many([{"vector": [float(i), 1.0], "meta": {"n": i}} for i in range(5)])
+    e.collection("b").write(text="some words")
+    e.save_snapshot(str(tmp_path / "s"))
+    e.close()
+    made = Engine.load_snapshot(spark, str(tmp_path / "s"), str(tmp_path / "again"))
+    assert made.totals() == {"a": 5, "b": 1} and made.verify() == "OK" and made.config.metric == "euclidean"
+    assert made.collection("b").probe_text("some words").count() == 1
+    assert made.embedder_loaded()
+    made.unload_embedder()
+    assert not made.embedder_loaded() and made.embedder().dimension == 2
+    with pytest.raises(StorageError):
+        made.close()
+        Engine.load_snapshot(spark, str(tmp_path / "s"), str(tmp_path / "again"))
+    spark.read.parquet(str(tmp_path / "s" / "records")).limit(1).write.mode("append").parquet(str(tmp_path / "s" / "records"))
+    with pytest.raises(StorageError, match="damaged"):
+        Engine.load_snapshot(spark, str(tmp_path / "s"), str(tmp_path / "other"))
+    about = json.loads((tmp_path / "s" / "snapshot.json").read_text())
+    (tmp_path / "s" / ".snapshot.json.crc").unlink()
+    (tmp_path / "s" / "snapshot.json").write_text(json.dumps({**about, "version": 2}))
+    with pytest.raises(StorageError, match="version"):
+        Engine.load_snapshot(spark, str(tmp_path / "s"), str(tmp_path / "other"))
+    with pytest.raises(StorageError):
+        Engine.load_snapshot(spark, str(tmp_path / "nothing"), str(tmp_path / "other"))

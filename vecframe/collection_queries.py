@@ -156,7 +156,7 @@ def collection_statements(spark: SparkSession, d: str) -> DataFrame:
     """place, erase, seek, scan and fetch through the query language, with rank_by and project."""
     db, _ = _vectors(spark, d)
     q = _query(spark, d)
-    db.query("place in vectors vector [" + ", ".join(f"{x:.9g}" for x in q) + '] data {"vec_id": -1, "label": 0}')
+    db.query("place in vectors vector [" + ", ".join(f"{x:.12f}" for x in q) + '] data {"vec_id": -1, "label": 0}')
     db.query(f'erase from vectors id "{id_of("7")}"')
     hits = db.query("seek in vectors nearest $q top 20 where not (label = 2) rank_by label project vec_id yield", {"q": q})
     found = hits.select(F.lit("seek").alias("statement"), _number(), F.size("meta").alias("fields"))
@@ -194,6 +194,19 @@ def collection_log_stream(spark: SparkSession, d: str) -> DataFrame:
     return spark.read.parquet(out).filter("op = 'place'").select(_number(), _number("label"))
 
 
+def collection_snapshot(spark: SparkSession, d: str) -> DataFrame:
+    """Two collections, one of them compressed, saved as a snapshot and loaded into another database."""
+    db, c = _vectors(spark, d, "euclidean")
+    c.compress("sq8")
+    db.collection("texts").ingest_df(_table(spark, d, "benchmark"), meta=["item_id"], text="text")
+    db.save_snapshot(f"{db.path}/snapshot")
+    other = Engine.load_snapshot(spark, f"{db.path}/snapshot", f"{db.path}/loaded")
+    other.abandon()
+    parts = [other.collection(n).sweep().select(F.lit(n).alias("vault"), _number(k), "codec").withColumnRenamed(k, "number") for n, k in (("texts", "item_id"), ("vectors", "vec_id"))]
+    near = other.collection("vectors").probe(_query(spark, d), 10).select(F.lit("near").alias("vault"), _number().alias("number"), "codec")
+    return parts[0].unionByName(parts[1]).unionByName(near)
+
+
 def record_ids(spark: SparkSession, d: str) -> DataFrame:
     """Ids of number keys, and the canonical form of ids written in other ways."""
     key = F.col("doc_id").cast("string")
@@ -275,7 +288,7 @@ def command_line(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (collection_ingest, collection_ingest_texts, jsonl_import, collection_writes, collection_transactions, collection_plans, collection_seek, collection_compressed, collection_statements, collection_upkeep, collection_log_stream, record_ids, filter_matches, nearest_centroid, collection_hydrated, collection_health, command_line)}
+    return {f.__name__: f for f in (collection_ingest, collection_ingest_texts, jsonl_import, collection_writes, collection_transactions, collection_plans, collection_seek, collection_compressed, collection_statements, collection_upkeep, collection_log_stream, collection_snapshot, record_ids, filter_matches, nearest_centroid, collection_hydrated, collection_health, command_line)}
 
 
 _HYPHENS = "substr({0}, 1, 8) || '-' || substr({0}, 9, 4) || '-' || substr({0}, 13, 4) || '-' || substr({0}, 17, 4) || '-' || substr({0}, 21, 12)"
@@ -303,6 +316,7 @@ UNION ALL SELECT 'fetch', vec_id, 2 FROM embeddings WHERE vec_id = 9""",
 SELECT 'before' AS "at", 'vectors' AS vault, count(*) AS records FROM embeddings UNION ALL SELECT 'before', 'events', count(*) FROM benchmark
 UNION ALL SELECT 'after', 'vectors', count(*) FROM embeddings WHERE label <> 1 UNION ALL SELECT 'after', 'events', count(*) FROM benchmark
 UNION ALL SELECT 'pending', 'all', 0::BIGINT""",
+        "collection_snapshot": f"SELECT 'texts' AS vault, item_id AS number, 'none' AS codec FROM benchmark UNION ALL SELECT 'vectors', vec_id, 'sq8' FROM embeddings UNION ALL SELECT 'near', vec_id, 'sq8' FROM ({sq8})",
         "record_ids": f"SELECT doc_id, {_HYPHENS.format('md5(doc_id::VARCHAR)')} AS id, {_HYPHENS.format('md5(doc_id::VARCHAR)')} AS canonical, NULL::VARCHAR AS no_id FROM documents",
         "filter_matches": "SELECT doc_id FROM documents WHERE lang IN ('en', 'de') AND n_chars >= 200 AND n_chars < 3000 AND NOT coalesce(contains(source, '1'), false)",
         "nearest_centroid": """

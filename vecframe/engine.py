@@ -13,6 +13,7 @@ import tempfile
 import uuid
 from collections.abc import Iterable, Mapping, Sequence
 from dataclasses import dataclass, replace
+from functools import reduce
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -34,6 +35,7 @@ from .sources.store import LOG, Manifest, Store
 from .types import META, RECORD, MetaValue, meta_row
 
 EMBEDDER = "embedder.json"
+SNAPSHOT = "vecframe-snapshot"
 #: Inverted lists are trained again when a collection has grown by this factor.
 GROWTH = 2
 #: After so many commits the log is folded into segments by itself.
@@ -98,7 +100,7 @@ class Engine:
             raise ConfigError(f"the database was made with the text embedder {found.embedder}")
         self.manifest, self.read_only = found, config.access_mode == "read_only"
         self.config = replace(found.config, access_mode=config.access_mode)
-        self._embedder, self._lineage = embedder, found.embedder
+        self._embedder, self._local, self._lineage = embedder, None, found.embedder
         self._held = None
         if not self.read_only:
             self._held = None if path in _writers else self.store.files.lock()
@@ -125,8 +127,21 @@ class Engine:
         return self.store.collections(self.manifest)
 
     def embedder(self):
+        """The text embedder: the one that was given, or the database's own, loaded at first use."""
         if self._embedder is not None:
             return self._embedder
+        if self._local is None:
+            self._local = self._loaded()
+        return self._local
+
+    def embedder_loaded(self) -> bool:
+        return self._embedder is not None or self._local is not None
+
+    def unload_embedder(self) -> None:
+        """Let go of the database's own embedder; the next use loads and checks it again."""
+        self._local = None
+
+    def _loaded(self) -> HashEmbedder:
         if self._lineage and self._lineage.get("provider") == "local":
             made = HashEmbedder.from_artifact(json.loads(self.store.files.read(EMBEDDER)))
             if made.dimension != self.config.dimension or made.identity != self._lineage:
@@ -208,6 +223,37 @@ class Engine:
         c.discard([s.id], missing_ok=True)
         return c.records().limit(0).select(*HIT, zero)
 
+    def save_snapshot(self, path: str) -> None:
+        """Write all collections, with what they need, as one table and one description with a checksum."""
+        tables = [self.collection(n).records().withColumn("collection", F.lit(n)) for n in self.collection_names()]
+        empty = self.spark.createDataFrame([], T.StructType([*RECORD.fields, T.StructField("collection", T.StringType())]))
+        rows = reduce(DataFrame.unionByName, tables, empty)
+        path = path.rstrip("/")
+        rows.write.parquet(f"{path}/records")
+        infos = {n: {k: v for k, v in i.items() if k not in ("segment", "rows")} for n, i in self.manifest.collections.items()}
+        about = {"magic": SNAPSHOT, "version": 1, "config": self.manifest.config.as_dict(), "embedder": self.manifest.embedder, "collections": infos, "checksum": _checksum(self.spark, path)}
+        Files(self.spark, path).publish("snapshot.json", json.dumps(about))
+
+    @classmethod
+    def load_snapshot(cls, spark: SparkSession, path: str, target: str) -> Engine:
+        """A new database at ``target`` from a snapshot; StorageError if that is none, of another version or damaged."""
+        path = path.rstrip("/")
+        try:
+            about = json.loads(Files(spark, path).read("snapshot.json"))
+        except ValueError as e:
+            raise StorageError(f"the snapshot at {path} is damaged: {e}") from e
+        if about.get("magic") != SNAPSHOT or about.get("version") != 1:
+            raise StorageError(f"{path} is no snapshot of a version that can be read")
+        if _checksum(spark, path) != about["checksum"]:
+            raise StorageError(f"the records of the snapshot at {path} are damaged")
+        out = cls(spark, target, Config.from_dict(about["config"]), lineage=about["embedder"])
+        if out.manifest.collections or out.store.entries(out.manifest):
+            raise StorageError(f"there is a database at {target}")
+        rows = spark.read.schema(T.StructType([*RECORD.fields, T.StructField("collection", T.StringType())])).parquet(f"{path}/records")
+        names = {r[0] for r in rows.select("collection").distinct().collect()} | set(about["collections"])
+        out.manifest = out.store.checkpoint(out.manifest, {n: (rows.filter(F.col("collection") == n).drop("collection"), about["collections"].get(n, {})) for n in names})
+        return out
+
     def verify(self) -> str:
         """``OK``, or ``CORRUPT`` and why, after reading every record."""
         try:
@@ -240,6 +286,16 @@ class Engine:
                 self._held.close()
 
 
+def _checksum(spark: SparkSession, path: str) -> list[str]:
+    """How many records a snapshot has, and a sum of their hashes, whatever their order."""
+    try:
+        rows = spark.read.parquet(f"{path}/records")
+        text = F.to_json(F.struct(*[c for c in rows.columns]))
+        return [str(x) for x in rows.agg(F.count("*"), F.sum(F.xxhash64(text).cast("decimal(38,0)"))).first()]
+    except Exception as e:
+        raise StorageError(f"the records of {path} can't be read: {str(e).splitlines()[0]}") from e
+
+
 def _delete(spark: SparkSession, path: str) -> None:
     """Delete a temporary database at the end of the driver, since what was read from it is lazy."""
     with contextlib.suppress(Exception):  # the session has ended before, and its folder with it
