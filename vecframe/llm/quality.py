@@ -23,6 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..partitions import spread
 from .common import forget, fresh, name, release, releasing, written
 
 POSITIVES = 10_000
@@ -224,7 +225,7 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([features(x.as_py()).astype(np.float16).tobytes() for x in b.column(1)], pa.binary())], names=["id", "x"])
 
     raws = docs.filter(name(text).isNotNull()).select(name(doc_id).alias("id"), name(text).cast("binary").alias("raw"))
-    rows = written(raws.mapInArrow(releasing(run), f"id {dict(raws.dtypes)['id']}, x binary"), "quality-features")
+    rows = written(spread(raws).mapInArrow(releasing(run), f"id {dict(raws.dtypes)['id']}, x binary"), "quality-features")
     good = labels.filter(name(label) == 1).select(name(doc_id).alias("id")).filter("id IS NOT NULL").distinct()
     chosen = rows.join(good, "id", "left_semi").orderBy(F.xxhash64(F.lit(seed), "id"), F.xxhash64("x")).limit(positives).select("x").toArrow()
     model = train(_matrix(chosen.column("x").combine_chunks()), rows, seed=seed) if chosen.num_rows else None
@@ -247,7 +248,8 @@ def score(docs: DataFrame, model: Model | None, text: str = "text", out: str = "
         return pa.array([None if t is None else float(s) for t, s in zip(texts, got)], pa.float64())
 
     run.__annotations__ = {"raws": pa.Array, "return": pa.Array}
-    return docs.withColumn(added, F.arrow_udf(run, "double")(name(text).cast("binary")))
+    # called non-deterministic so that a filter on the score doesn't score the texts once more
+    return spread(docs).withColumn(added, F.arrow_udf(run, "double").asNondeterministic()(name(text).cast("binary")))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "quality", out: str | None = None) -> DataFrame:
