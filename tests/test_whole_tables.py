@@ -4,8 +4,9 @@ import numpy as np
 import pytest
 
 from vecframe import queries as q
+from vecframe.config import QuantParams
 from vecframe.functions import text as X
-from vecframe.operators import search
+from vecframe.operators import quantize, search
 
 SF = "/root/testdata/sf0.001"
 
@@ -156,3 +157,21 @@ def test_embedder_adds_up_its_features():
                     h = X.mix64(((X.fnv1a(f.encode()) ^ seed) + p * 0x9E3779B97F4A7C15) & X._M64)
                     want[h % model.dimension] += (1 if h >> 63 else -1) / (p + 1)
             assert np.allclose(got, want, rtol=1e-5, atol=1e-4)
+
+
+@pytest.mark.parametrize("codec, metric", [("sq8", "cosine"), ("pq", "euclidean"), ("opq", "cosine")])
+def test_batches_of_queries_score_codes_by_blocks(spark, monkeypatch, codec, metric):
+    """Every query finds the codes of the least scores, ties by id, without a pass over the rows for each query."""
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(300, 8))
+    x = np.repeat(x[:3], 100, 0) if codec == "pq" else x
+    c = quantize.train(x, QuantParams(codec, 4, 4))
+    rows = spark.createDataFrame([(i, r.tobytes()) for i, r in enumerate(c.encode(x))] + [(999, None)], "id long, codes binary").repartition(3)
+    asked = spark.createDataFrame([(i, rng.normal(size=8).tolist()) for i in range(7)], "query_id long, query array<double>")
+    want = {}
+    for r in asked.collect():
+        d = np.round(c.scores(c.encode(x), np.array(r.query), metric), 9)
+        want |= {(r.query_id, n): (j, pytest.approx(d[j])) for n, j in enumerate(np.lexsort((np.arange(300), d))[:5].tolist(), 1)}
+    monkeypatch.setattr(quantize.Quantizer, "scores", None)
+    for held in (search.HELD_VALUES, 0):
+        assert {(r.query_id, r["rank"]): (r.id, r.distance) for r in quantize.batch_codes_knn(rows, c, asked, 5, metric, held_values=held).collect()} == want
