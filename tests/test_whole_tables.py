@@ -175,3 +175,13 @@ def test_batches_of_queries_score_codes_by_blocks(spark, monkeypatch, codec, met
     monkeypatch.setattr(quantize.Quantizer, "scores", None)
     for held in (search.HELD_VALUES, 0):
         assert {(r.query_id, r["rank"]): (r.id, r.distance) for r in quantize.batch_codes_knn(rows, c, asked, 5, metric, held_values=held).collect()} == want
+
+
+@pytest.mark.parametrize("codec", ["pq", "opq"])
+def test_tasks_fit_the_same_codebooks(spark, monkeypatch, codec):
+    monkeypatch.setattr(quantize, "TASK_CELLS", 1000)
+    x, params = np.random.default_rng(4).normal(size=(500, 12)), QuantParams(codec, 4, 4)
+    here = quantize.train(x, params)
+    monkeypatch.setattr(quantize, "kmeans", None)  # tasks have their own
+    there = quantize.train(x, params, spark.sparkContext)
+    assert np.allclose(here.books, there.books) and (codec == "pq" or np.allclose(here.rotation, there.rotation))
