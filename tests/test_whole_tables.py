@@ -6,7 +6,7 @@ import pytest
 from vecframe import queries as q
 from vecframe.config import QuantParams
 from vecframe.functions import text as X
-from vecframe.operators import quantize, search
+from vecframe.operators import ivf, quantize, search
 
 SF = "/root/testdata/sf0.001"
 
@@ -185,3 +185,22 @@ def test_tasks_fit_the_same_codebooks(spark, monkeypatch, codec):
     monkeypatch.setattr(quantize, "kmeans", None)  # tasks have their own
     there = quantize.train(x, params, spark.sparkContext)
     assert np.allclose(here.books, there.books) and (codec == "pq" or np.allclose(here.rotation, there.rotation))
+
+
+@pytest.mark.parametrize("metric", ["euclidean", "cosine", "dot_product"])
+@pytest.mark.parametrize("nprobe", [1, 4, 9])
+def test_lists_are_searched_by_blocks(spark, metric, nprobe):
+    """A query finds the nearest rows of its lists; no join makes a row of each pair."""
+    rng = np.random.default_rng(5)
+    x = rng.integers(-2, 3, (400, 4)).astype(float)
+    index = ivf.Ivf(rng.normal(size=(9, 4)), metric)
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)] + [(999, None)], "id long, vector array<double>").repartition(3)
+    asked = spark.createDataFrame([(i, x[i].tolist()) for i in range(40)] + [(1000, None)], "query_id long, query array<double>")
+    at, want = ivf.nearest_lists(x, index), {}
+    for i in range(40):
+        d = (np.sqrt(((x - x[i]) ** 2).sum(1)) if metric == "euclidean" else (metric == "cosine") - (x * x[i]).sum(1)) + np.where(np.isin(at, index.order(x[i])[:nprobe]), 0, np.inf)
+        want |= {(i, n): (j, pytest.approx(d[j])) for n, j in enumerate(np.lexsort((np.arange(400), d))[:6].tolist(), 1) if d[j] < np.inf}
+    for held in (search.HELD_VALUES, 0):
+        found = ivf.batch_search(ivf.assign(rows, index), index, asked, 6, nprobe, held_values=held)
+        assert "Join" not in found._jdf.queryExecution().optimizedPlan().toString()
+        assert {(r.query_id, r["rank"]): (r.id, r.distance) for r in found.collect()} == want
