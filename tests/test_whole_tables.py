@@ -204,3 +204,43 @@ def test_lists_are_searched_by_blocks(spark, metric, nprobe):
         found = ivf.batch_search(ivf.assign(rows, index), index, asked, 6, nprobe, held_values=held)
         assert "Join" not in found._jdf.queryExecution().optimizedPlan().toString()
         assert {(r.query_id, r["rank"]): (r.id, r.distance) for r in found.collect()} == want
+
+
+@pytest.mark.parametrize("metric", ["euclidean", "dot_product"])
+def test_row_top_k_makes_no_matrix(spark, monkeypatch, metric):
+    """Ties by id, rows of any id type; no task makes or sorts a row for each pair."""
+    monkeypatch.setattr(search, "_all_of", None)
+    x = np.random.default_rng(6).integers(-2, 3, (300, 4)).astype(float)
+    b = spark.createDataFrame([(f"r{i:03}", v.tolist()) for i, v in enumerate(x)] + [("none", None)], "id string, vector array<double>").repartition(3)
+    a = spark.createDataFrame([(i, x[i].tolist()) for i in range(50)] + [(1000, None)], "key long, of array<double>")
+    want = {}
+    for i in range(50):
+        d = np.sqrt(((x - x[i]) ** 2).sum(1)) if metric == "euclidean" else -(x * x[i]).sum(1)
+        want |= {(i, n): (f"r{j:03}", pytest.approx(d[j])) for n, j in enumerate(np.lexsort((np.arange(300), d))[:5], 1)}
+    for held in (search.HELD_VALUES, 0):
+        got = search.row_top_k(a, b, 5, metric, "key", "id", "of", "vector", held).collect()
+        assert {(r.a_id, r["rank"]): (r.b_id, r.distance) for r in got} == want
+
+
+@pytest.mark.parametrize("metric", ["euclidean", "dot_product"])
+@pytest.mark.parametrize("held", [search.HELD_VALUES, 0])
+def test_odd_vectors_come_last_and_hide_no_others(spark, metric, held):
+    """A vector with NaN or infinity changes nothing for the rest of its block; NaN is more than any distance, as in SQL."""
+    rng = np.random.default_rng(7)
+    x = rng.normal(size=(200, 4))
+    x[50:150, 1], x[150], x[151] = np.nan, np.inf, -np.inf
+    b = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, vector array<double>").repartition(2)
+    a = spark.createDataFrame([(i, x[i].tolist()) for i in (0, 1, 60, 150)], "query_id long, query array<double>")
+    index, want = ivf.Ivf(rng.normal(size=(3, 4)), metric), {}
+    for k in (5, 120):
+        for i in (0, 1, 60, 150):
+            with np.errstate(invalid="ignore"):
+                d = np.sqrt(((x - x[i]) ** 2).sum(1)) if metric == "euclidean" else -(x * x[i]).sum(1)
+            want[i] = np.lexsort((np.arange(200), np.nan_to_num(d, posinf=np.inf, neginf=-np.inf), np.isnan(d)))[:k].tolist()
+        for found in (search.batch_knn(b, a, k, metric, held_values=held), ivf.batch_search(ivf.assign(b, index), index, a, k, 3, held_values=held)):
+            got = {}
+            for r in sorted(found.collect(), key=lambda r: r["rank"]):
+                got.setdefault(r.query_id, []).append(r.id)
+            assert got == want
+    for nprobe in (2, 3):
+        assert ivf.batch_search(ivf.assign(b, index), index, a.limit(0), 5, nprobe, held_values=held).count() == 0
