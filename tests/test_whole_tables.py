@@ -1,6 +1,7 @@
 """Queries over whole tables against brute force."""
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from vecframe import queries as q
@@ -244,3 +245,19 @@ def test_odd_vectors_come_last_and_hide_no_others(spark, metric, held):
             assert got == want
     for nprobe in (2, 3):
         assert ivf.batch_search(ivf.assign(b, index), index, a.limit(0), 5, nprobe, held_values=held).count() == 0
+
+
+@pytest.mark.parametrize("metric", ["euclidean", "cosine", "dot_product"])
+def test_pairs_of_a_block_come_by_distance(monkeypatch, metric):
+    """Each pair is there once, equal distances of a block lie together, and no batch is large."""
+    monkeypatch.setattr(search, "HELD_CELLS", 5 * 70)
+    monkeypatch.setattr(search, "HELD_ROWS", 100)
+    rng = np.random.default_rng(8)
+    x, ids = rng.integers(-2, 3, (70, 4)).astype(float), [f"q{i}" for i in range(12)]
+    part = pa.RecordBatch.from_arrays([pa.array(range(70)), pa.array(x.tolist())], names=["id", "v"])
+    batches = [b.to_pydict() for b in search._all_of(ids, x[:12], part, metric)]
+    assert [len(b["a_id"]) for b in batches] == [100, 100, 100, 50] * 2 + [100, 40]
+    got, d = [r for b in batches for r in zip(b["a_id"], b["b_id"], b["distance"])], np.array([t for b in batches for t in b["distance"]])
+    assert all((np.diff(d[at : at + 350]) >= 0).all() for at in (0, 350, 700))
+    want = np.sqrt(((x[None] - x[:12, None]) ** 2).sum(2)) if metric == "euclidean" else (metric == "cosine") - x[:12] @ x.T
+    assert {(a, b): t for a, b, t in got} == {(f"q{i}", j): pytest.approx(want[i, j]) for i in range(12) for j in range(70)} and len(got) == 840
