@@ -261,3 +261,9 @@ def test_pairs_of_a_block_come_by_distance(monkeypatch, metric):
     assert all((np.diff(d[at : at + 350]) >= 0).all() for at in (0, 350, 700))
     want = np.sqrt(((x[None] - x[:12, None]) ** 2).sum(2)) if metric == "euclidean" else (metric == "cosine") - x[:12] @ x.T
     assert {(a, b): t for a, b, t in got} == {(f"q{i}", j): pytest.approx(want[i, j]) for i in range(12) for j in range(70)} and len(got) == 840
+
+
+def test_recall_floors_take_no_pass_for_each_query(spark, monkeypatch):
+    monkeypatch.setattr(quantize.Quantizer, "scores", None)
+    monkeypatch.setattr(quantize, "TASK_CELLS", 0)
+    assert sorted(map(tuple, q.recall_floors(spark, SF).collect())) == [(m, True) for m in sorted(q.FLOORS)]
