@@ -267,3 +267,64 @@ def test_recall_floors_take_no_pass_for_each_query(spark, monkeypatch):
     monkeypatch.setattr(quantize.Quantizer, "scores", None)
     monkeypatch.setattr(quantize, "TASK_CELLS", 0)
     assert sorted(map(tuple, q.recall_floors(spark, SF).collect())) == [(m, True) for m in sorted(q.FLOORS)]
+
+
+@pytest.mark.parametrize("kind", ["normal", "ties", "copies", "equal", "line", "far"])
+def test_narrow_parts_are_fitted_with_few_distances(monkeypatch, kind):
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(4000, 2))
+    x = {"normal": x, "ties": np.round(x * 2), "copies": np.repeat(x[:50], 80, 0), "equal": x * 0, "line": x * [1, 0], "far": x * [1, 1e-3] + [30, 0]}[kind]
+    want = _lloyd(x, 64, 20)
+    compared, nearest = [], quantize.nearest
+    monkeypatch.setattr(quantize, "nearest", lambda x, *a: compared.append(len(x)) or nearest(x, *a))
+    got = quantize.kmeans(x, 64, 20)
+    assert np.allclose(got, want, rtol=0, atol=1e-9)
+    assert kind != "normal" or sum(compared) < 6 * len(x)
+
+
+def _lloyd(x, k, iterations):
+    c = x[np.linspace(0, len(x) - 1, k).astype(int)]
+    for _ in range(iterations):
+        at, d = quantize.nearest(x, c)
+        new, sizes = np.zeros_like(c), np.bincount(at, minlength=k)
+        np.add.at(new, at, x)
+        new /= np.maximum(sizes, 1)[:, None]
+        new[sizes == 0] = x[np.argsort(-d, kind="stable")[np.arange((sizes == 0).sum()) % len(x)]]
+        c = new
+    return c
+
+
+def test_opq_begins_with_the_books_of_pq():
+    x = np.random.default_rng(5).normal(size=(600, 8))
+    pq, opq = (quantize.train(x, QuantParams(c, pq_dim=4, pq_bits=6)) for c in ("pq", "opq"))
+    got = quantize.train(x, QuantParams("opq", pq_dim=4, pq_bits=6), None, pq)
+    assert np.array_equal(got.books, opq.books) and np.array_equal(got.rotation, opq.rotation)
+
+
+def test_recall_draws_rows_and_fits_books_without_rotation_once(spark, monkeypatch):
+    drawn, fitted, sample, kmeans = [], [], quantize.sample_matrix, quantize.kmeans
+    monkeypatch.setattr(quantize, "sample_matrix", lambda *a: drawn.append(a) or sample(*a))
+    monkeypatch.setattr(quantize, "kmeans", lambda x, *a: fitted.append(x.shape[1]) or kmeans(x, *a))
+    monkeypatch.setattr(quantize, "TASK_CELLS", 1 << 60)
+    assert {m for m, _ in q.recall_at_10(spark, SF).collect()} == {*q.FLOORS}
+    assert len(drawn) == 1 and fitted.count(2) == 7 * 32 and len(fitted) == 7 * 32 + 1
+
+
+@pytest.mark.parametrize("kind", [pa.float32(), pa.float64()])
+def test_columns_of_vectors_keep_rows_without_one(kind):
+    x = np.random.default_rng(2).normal(size=(7, 4)).astype(kind.to_pandas_dtype())
+    rows = [None, *x[:3], None, *x[3:], None]
+    got = quantize.of_vectors(pa.array(rows, pa.list_(kind)).slice(1), lambda m: pa.array(m.sum(1)), pa.float64())
+    assert got.to_pylist() == [None if r is None else pytest.approx(r.astype(np.float64).sum()) for r in rows[1:]]
+    for empty in ([], [None, None]):
+        assert quantize.of_vectors(pa.array(empty, pa.list_(kind)), None, pa.int32()).to_pylist() == empty
+
+
+@pytest.mark.parametrize("codec", ["sq8", "pq", "opq"])
+def test_codes_and_lists_of_rows_without_vectors(spark, vectors, codec):
+    ids, x = vectors
+    rows = spark.createDataFrame([(i, None if i % 3 == 1 else v.tolist()) for i, v in zip(ids[:90], x[:90])], "id long, vector array<float>").coalesce(2)
+    c, index = quantize.train(x, QuantParams(codec, 4, 4)), ivf.Ivf(x[:5], "cosine")
+    got = {r.id: (r.codes, r.list_id) for r in ivf.assign(quantize.encode_column(rows, c), index).collect()}
+    codes, lists = c.encode(x[:90].astype(np.float32)), ivf.nearest_lists(x[:90], index)
+    assert got == {i: (None, None) if i % 3 == 1 else (codes[j].tobytes(), lists[j]) for j, i in enumerate(ids[:90])}
